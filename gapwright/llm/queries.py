@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, packing, quality_rules, token_shards
+from . import chat, packing, pii, quality_model, quality_rules, token_shards
 from .common import documents, table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.digests(pii.find_pii(documents(spark, sf_dir)))
+
+
+def op2_quality_classifier(spark, sf_dir):
+    return quality_model.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=0, capacity=2048)
 
@@ -27,5 +35,5 @@ def op10_token_shards(spark, sf_dir):
     return token_shards.token_shards(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op6_chat_formatting, op8_quality_rules, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_classifier, op4_best_fit_packing, op6_chat_formatting, op8_quality_rules, op10_token_shards)}
 ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat.SQL}
