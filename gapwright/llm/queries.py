@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, packing, pii, quality_model, quality_rules, token_shards
+from . import chat, packing, pii, quality_model, quality_rules, repeats, token_shards
 from .common import documents, table
 
 
@@ -20,6 +20,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=0, capacity=2048)
 
 
+def op5_byte_dedup(spark, sf_dir):
+    return repeats.byte_repeats(documents(spark, sf_dir))
+
+
 def op6_chat_formatting(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -27,6 +31,10 @@ def op6_chat_formatting(spark, sf_dir):
     return chat.digests(chat.format_conversations(rows.unionByName(fixed)))
 
 
+def op7_word_dedup(spark, sf_dir):
+    return repeats.word_repeats(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
@@ -35,5 +43,5 @@ def op10_token_shards(spark, sf_dir):
     return token_shards.token_shards(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_classifier, op4_best_fit_packing, op6_chat_formatting, op8_quality_rules, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_classifier, op4_best_fit_packing, op5_byte_dedup, op6_chat_formatting, op7_word_dedup, op8_quality_rules, op10_token_shards)}
 ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat.SQL}
