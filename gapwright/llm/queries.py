@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, packing, pii, quality_model, quality_rules, repeats, token_shards
+from . import chat, packing, pii, quality_model, quality_rules, repeats, similarity, token_shards
 from .common import documents, table
 
 
@@ -16,6 +16,10 @@ def op2_quality_classifier(spark, sf_dir):
     return quality_model.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return similarity.similar(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=0, capacity=2048)
 
@@ -43,5 +47,5 @@ def op10_token_shards(spark, sf_dir):
     return token_shards.token_shards(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_classifier, op4_best_fit_packing, op5_byte_dedup, op6_chat_formatting, op7_word_dedup, op8_quality_rules, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_jaccard_join, op4_best_fit_packing, op5_byte_dedup, op6_chat_formatting, op7_word_dedup, op8_quality_rules, op10_token_shards)}
 ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat.SQL}
