@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, packing, pii, quality_model, quality_rules, repeats, similarity, token_shards
+from . import chat, decontamination, packing, pii, quality_model, quality_rules, repeats, similarity, token_shards
 from .common import documents, table
 
 
@@ -43,9 +43,13 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_token_shards(spark, sf_dir):
     return token_shards.token_shards(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_jaccard_join, op4_best_fit_packing, op5_byte_dedup, op6_chat_formatting, op7_word_dedup, op8_quality_rules, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_jaccard_join, op4_best_fit_packing, op5_byte_dedup, op6_chat_formatting, op7_word_dedup, op8_quality_rules, op9_decontamination, op10_token_shards)}
 ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat.SQL}
