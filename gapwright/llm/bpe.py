@@ -14,7 +14,7 @@ import struct
 import numpy as np
 
 #: Entries in each of the two generations of a memo.
-MEMO = 500_000
+MEMO = 300_000
 _CACHE: dict[str, "Encoder"] = {}
 
 #: A space before one of these byte strings may be inside a run of white space that is one token.

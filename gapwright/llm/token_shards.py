@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from . import bpe
 from .common import Scratch, binary, mix, partitions
 
+_FIRST = -(1 << 63)
 MAGIC = b"GWSST\x00\x01\n"
 BLOCK_BYTES = 1 << 17
 BLOOM_BITS, BLOOM_HASHES = 10, 7
@@ -72,6 +73,12 @@ def _hashes(key: bytes, bits: int) -> list[int]:
     return [(a + i * (b | 1)) % bits for i in range(BLOOM_HASHES)]
 
 
+def narrow(ids: np.ndarray) -> tuple[bool, bytes]:
+    """Are 32 bits needed, and the bytes: 16 bits an id where all fit."""
+    wide = bool(len(ids)) and int(ids.max()) > 65535
+    return wide, ids.astype("<u4" if wide else "<u2", copy=False).tobytes()
+
+
 class ShardWriter:
     """Entries come in ascending key order; `bytes()` ends the shard."""
 
@@ -93,8 +100,7 @@ class ShardWriter:
         shared = 0 if not self.block else len(os.path.commonprefix([key, self.last]))
         if not self.block:
             self.blocks.append([key.hex(), self.size, 0])
-        body = ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65536 else ids.astype("<u4").tobytes()
-        wide = len(body) // max(1, len(ids)) == 4
+        wide, body = narrow(ids)
         self.block += [_v(shared), _v(len(key) - shared), _v(self.tokens), _v(len(ids) * 2 + wide), key[shared:], body]
         self.block_size += len(body) + 12
         self.raw += len(body)
@@ -191,20 +197,6 @@ def _put(folder: str, name: str, data: bytes) -> None:
     store.move(part, f"{path}/{name}")
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """(doc_id, ids): whole texts as unsigned 32-bit ids, with the end id."""
-
-    def run(batches):
-        enc, tail = bpe.encoder(tokenizer), struct.pack("<I", end)
-        for b in batches:
-            texts = binary(b.column("text")).to_pylist()
-            for lo, hi in bpe.batches(texts):
-                ids = [x + tail for x in enc.encode(texts[lo:hi])]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
 def bounds(docs: DataFrame, rows_per_shard: int, most: int = 20_000) -> list[int]:
     """Identifiers that cut documents into shards of about rows_per_shard rows; at most `most` of them."""
     n = docs.count()
@@ -223,11 +215,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, rows_per_shard
     n = max(1, min(len(cuts) + 1, 8 * partitions(spark)))
     where = np.array(cuts, dtype=np.int64)
 
-    def shard_of(batches):
+    def tokenize(batches):
+        enc, tail = bpe.encoder(tokenizer), struct.pack("<I", end)
         for b in batches:
-            ids = b.column("doc_id")
-            k = np.searchsorted(where, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), ids, b.column("ids")], ["shard", "doc_id", "ids"])
+            doc_ids = b.column("doc_id")
+            shard = np.searchsorted(where, doc_ids.fill_null(_FIRST).to_numpy(zero_copy_only=False), "right")
+            texts = binary(b.column("text")).to_pylist()
+            for lo, hi in bpe.batches(texts):
+                ids = [narrow(np.frombuffer(x + tail, "<u4")) for x in enc.encode(texts[lo:hi])]
+                wide = pa.array([w for w, _ in ids])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[lo:hi], pa.int64()), doc_ids[lo:hi], wide, pa.array([x for _, x in ids], pa.binary())], ["shard", "doc_id", "wide", "ids"])
 
     def run(batches):
         now, w, part = None, None, 0
@@ -238,18 +235,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, rows_per_shard
             return pa.RecordBatch.from_pydict({"shard": [now], "part": [part], "name": [name], "rows": [w.rows], "tokens": [w.tokens]})
 
         for b in batches:
-            for shard, doc_id, ids in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+            for shard, doc_id, wide, ids in zip(*(b.column(x).to_pylist() for x in ("shard", "doc_id", "wide")), b.column("ids"), strict=True):
                 if w is not None and (shard != now or w.raw >= SHARD_BYTES):
                     yield close()
                     part, w = (part + 1 if shard == now else 0), None
                 if w is None:
                     now, w = shard, ShardWriter()
-                w.add(encode_key(doc_id), np.frombuffer(ids.as_buffer(), "<u4"))
+                w.add(encode_key(doc_id), np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2"))
         if w is not None:
             yield close()
 
-    ids = tokenize(docs, tokenizer, end).mapInArrow(shard_of, "shard long, doc_id long, ids binary")
-    placed = ids.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = docs.mapInArrow(tokenize, "shard long, doc_id long, wide boolean, ids binary")
+    placed = ids.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "wide", "ids")
     return placed.mapInArrow(run, "shard long, part long, name string, rows long, tokens long")
 
 
