@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .intervals import densify, hidden_days
 
-KNOWN = F.coalesce(F.col("eligible"), F.lit(False)) & F.col("value").isNotNull()
+
+def seen() -> Column:
+    """Eligible days whose value is known."""
+    return F.coalesce(F.col("eligible"), F.lit(False)) & F.col("value").isNotNull()
 
 
 def edges(daily: DataFrame, pool: DataFrame, floor: float | None = None) -> DataFrame:
@@ -17,7 +20,7 @@ def edges(daily: DataFrame, pool: DataFrame, floor: float | None = None) -> Data
     One pass over the dense series: the last known value up to a day, the first from a day on; gaps then look up
     the days next to them. No scan for each gap.
     """
-    known = KNOWN if floor is None else KNOWN & (F.col("value") > floor)
+    known = seen() if floor is None else seen() & (F.col("value") > floor)
     dense = densify(daily.select("series_id", "date", "value", "eligible"))
     w = Window.partitionBy("series_id").orderBy("x")
     o = F.when(known, F.struct(F.col("x").alias("ox"), F.col("value").alias("ov")))
@@ -62,7 +65,7 @@ def climatology(daily: DataFrame, pool: DataFrame) -> DataFrame:
 
     Leave-one-gap-out by subtraction: totals by month less the gap's part, so the series isn't read once per gap.
     """
-    known = daily.where(KNOWN).withColumn("month", F.month("date"))
+    known = daily.where(seen()).withColumn("month", F.month("date"))
     by_month = known.groupBy("series_id", "month").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
     whole = known.groupBy("series_id").agg(F.sum("value").alias("ts"), F.count(F.lit(1)).alias("tn"))
     days = hidden_days(pool).withColumn("month", F.month("date"))
@@ -101,7 +104,7 @@ def with_truth(predictions: DataFrame, daily: DataFrame) -> DataFrame:
 
 def day_of_year_climatology(daily: DataFrame, pool: DataFrame) -> DataFrame:
     """(gap_id, doy 0..366, mean): mean per day of year without the gap; empty bins are interpolated, ends carry."""
-    known = daily.where(KNOWN).withColumn("doy", F.dayofyear("date"))
+    known = daily.where(seen()).withColumn("doy", F.dayofyear("date"))
     sums = known.groupBy("series_id", "doy").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
     inside = hidden_days(pool).join(known.select("series_id", "x", "value", "doy"), ["series_id", "x"]).groupBy("gap_id", "doy").agg(F.sum("value").alias("gs"), F.count(F.lit(1)).alias("gn"))
     bins = pool.select("series_id", "gap_id", F.explode(F.sequence(F.lit(0), F.lit(366))).alias("doy"))
@@ -119,7 +122,7 @@ def day_of_year_climatology(daily: DataFrame, pool: DataFrame) -> DataFrame:
 def fill_distances(daily: DataFrame) -> DataFrame:
     """Days since the last and until the next known day (0 on known days)."""
     w = Window.partitionBy("series_id").orderBy("x")
-    k = F.when(KNOWN, F.col("x"))
+    k = F.when(seen(), F.col("x"))
     back, on = F.last(k, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(k, True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return daily.select("series_id", "date", (F.col("x") - back).alias("since"), (on - F.col("x")).alias("until"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .baselines import KNOWN, _between
+from .baselines import _between, seen
 from .intervals import densify, hidden_days
 
 #: Feature to (family, is it known before the gap ends) (fixed values).
@@ -27,7 +27,7 @@ def _frame(w, lo: int, hi: int):
 
 def _side(daily: DataFrame, sign: int) -> DataFrame:
     """Windowed statistics of known days before (sign -1) or after (+1) each calendar day."""
-    dense = densify(daily.select("series_id", "date", "value", "eligible")).withColumn("v", F.when(KNOWN & (F.col("value") > S.FLOOR), F.col("value")))
+    dense = densify(daily.select("series_id", "date", "value", "eligible")).withColumn("v", F.when(seen() & (F.col("value") > S.FLOOR), F.col("value")))
     w = Window.partitionBy("series_id").orderBy("x")
     near = lambda d: _frame(w, -d, -1) if sign < 0 else _frame(w, 1, d)
     far = w.rowsBetween(Window.unboundedPreceding, -1) if sign < 0 else w.rowsBetween(1, Window.unboundedFollowing)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-ERROR = F.col("prediction") - F.col("truth")
+
+def error() -> Column:
+    return F.col("prediction") - F.col("truth")
 
 
 def on_log_scale(rows: DataFrame) -> DataFrame:
@@ -17,7 +19,7 @@ def on_log_scale(rows: DataFrame) -> DataFrame:
 
 def gap_metrics(rows: DataFrame, digits: int = 4) -> DataFrame:
     """Per method and gap: valid days, coverage, MAE, RMSE, bias, and r where three days and both spreads allow it."""
-    e = ERROR
+    e = error()
     ok = e.isNotNull()
     p, t = F.when(ok, F.col("prediction")), F.when(ok, F.col("truth"))
     rich = (F.count(e) >= 3) & (F.stddev_samp(p) > 0) & (F.stddev_samp(t) > 0)
@@ -40,7 +42,7 @@ def scores(rows: DataFrame, *by: str, counted_before: bool = False) -> DataFrame
 
     counted_before: gaps and rows are counted before rows without an error are dropped.
     """
-    rows = rows.withColumn("e", ERROR).withColumn("a", F.abs("e"))
+    rows = rows.withColumn("e", error()).withColumn("a", F.abs("e"))
     keys = list(by)
     known = rows.where(F.col("e").isNotNull())
     per_gap = known.groupBy(*keys, "gap_id").agg(F.avg("a").alias("m")).groupBy(*keys).agg(F.avg("m").alias("gap_weighted_mae"))
@@ -57,7 +59,7 @@ def by_length(rows: DataFrame) -> DataFrame:
 
 def by_event(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Errors of gaps with and without an event; labels (gap_id, is_event)."""
-    rows = rows.join(labels.select("gap_id", "is_event"), "gap_id", "left").withColumn("a", F.abs(ERROR))
+    rows = rows.join(labels.select("gap_id", "is_event"), "gap_id", "left").withColumn("a", F.abs(error()))
     return rows.groupBy("method", "is_event").agg(F.count("a").alias("n_days"), F.avg("a").alias("mae"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .baselines import KNOWN
+from .baselines import seen
 from .intervals import islands
 
 EDGES = (0.10, 0.25, 0.50, 0.75, 0.90)
@@ -14,7 +14,7 @@ NAMES = ("below_p10", "p10_to_p25", "p25_to_p50", "p50_to_p75", "p75_to_p90", "a
 
 def edges(daily: DataFrame) -> DataFrame:
     """Exact quantiles of known values, linear between neighbours: (series_id, q array)."""
-    return daily.where(KNOWN).groupBy("series_id").agg(F.expr(f"percentile(value, array({', '.join(map(str, EDGES))}))").alias("q"))
+    return daily.where(seen()).groupBy("series_id").agg(F.expr(f"percentile(value, array({', '.join(map(str, EDGES))}))").alias("q"))
 
 
 def band(v: Column, q: Column) -> Column:
@@ -26,12 +26,12 @@ def band(v: Column, q: Column) -> Column:
 
 
 def banded(daily: DataFrame) -> DataFrame:
-    return daily.where(KNOWN).join(edges(daily), "series_id").withColumn("band", band(F.col("value"), F.col("q")))
+    return daily.where(seen()).join(edges(daily), "series_id").withColumn("band", band(F.col("value"), F.col("q")))
 
 
 def tail_days(daily: DataFrame) -> DataFrame:
     """Low: at or below p10 (unlike its band, which excludes the edge). High: at or above p90."""
-    return daily.where(KNOWN).join(edges(daily), "series_id").withColumns({"low": F.col("value") <= F.col("q")[0], "high": F.col("value") >= F.col("q")[4]})
+    return daily.where(seen()).join(edges(daily), "series_id").withColumns({"low": F.col("value") <= F.col("q")[0], "high": F.col("value") >= F.col("q")[4]})
 
 
 def tail_runs(daily: DataFrame) -> DataFrame:

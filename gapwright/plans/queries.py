@@ -462,13 +462,13 @@ def so5_stratified_subset(spark, d):
 
 @query(f"WITH {S1}, {S2} SELECT date FROM known INTERSECT SELECT date FROM s2")
 def st2_common_days(spark, d):
-    known = series.main_series(spark, d).where(baselines.KNOWN).select("date")
+    known = series.main_series(spark, d).where(baselines.seen()).select("date")
     return known.intersect(series.feature_series(spark, d).select("date"))
 
 
 @query(f"WITH {S1}, {S2} SELECT date FROM known EXCEPT SELECT date FROM s2 WHERE f_count >= 7")
 def st3_days_without_features(spark, d):
-    known = series.main_series(spark, d).where(baselines.KNOWN).select("date")
+    known = series.main_series(spark, d).where(baselines.seen()).select("date")
     return known.subtract(series.feature_series(spark, d).where("f_count >= 7").select("date"))
 
 

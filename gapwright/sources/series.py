@@ -86,7 +86,7 @@ def matched_support(pool: DataFrame, ids: DataFrame, expected: int | None = None
     return out
 
 
-LEDGER = T.StructType.fromDDL(
+LEDGER = (
     "key string, gap_id string, context_mode string, arm string, placebo_transform string, gap_length int, n_context int, date array<string>, "
     "pred_log10 array<double>, true_log10 array<double>, quantile_levels array<double>, quantiles_log10 array<array<double>>, error_type string, error string"
 )
