@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, decontamination, packing, pii, quality_model, quality_rules, repeats, similarity, token_shards
+from . import chat, decontamination, oracle, packing, pii, quality_model, quality_rules, repeats, similarity, token_shards
 from .common import documents, table
 
 
@@ -52,4 +52,4 @@ def op10_token_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_jaccard_join, op4_best_fit_packing, op5_byte_dedup, op6_chat_formatting, op7_word_dedup, op8_quality_rules, op9_decontamination, op10_token_shards)}
-ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = oracle.SQL
