@@ -57,14 +57,18 @@ def unescape_role(c: Column, t: Template) -> Column:
     return unescape(F.replace(c, F.lit("&nl;"), F.lit(t.after_role)), t)
 
 
+#: The state after a role that the machine doesn't take.
+DEAD = ""
+
+
 def _step(t: Template):
     def move(acc: Column, turn: Column) -> Column:
-        state = F.lit(None).cast("string")
+        state = F.lit(DEAD)  # not NULL: an accumulator keeps the nullability of its first value
         for a, by_role in t.moves.items():
             for role, b in by_role.items():
                 state = F.when((acc["state"] == a) & (turn["role"] == role), F.lit(b)).otherwise(state)
         seen = acc["seen"] + 1
-        bad = F.when(acc["bad"].isNotNull(), acc["bad"]).when(state.isNull(), acc["seen"])
+        bad = F.when(acc["bad"].isNotNull(), acc["bad"]).when(state == DEAD, acc["seen"])
         return F.struct(state.alias("state"), seen.alias("seen"), bad.alias("bad"))
 
     return move
