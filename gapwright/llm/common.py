@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,9 +59,16 @@ class Scratch:
         fs.mkdirs(p)
         return self.path(name)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back: the lineage above is cut, and lost executors cost one stage."""
+    def save(self, df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+        """Write df as Parquet and read it back: the lineage above is cut, and lost executors cost one stage.
+
+        tidy: let Spark's cleaner drop the shuffle files of what is written now, instead of whenever the driver
+        happens to collect its garbage.
+        """
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        if tidy:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

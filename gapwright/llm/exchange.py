@@ -25,6 +25,19 @@ def schema_of(names: list[str]) -> str:
     return "bucket int, kind int, " + ", ".join(f"{n} binary" for n in names)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The array's bytes by significance: high bytes of small numbers lie together, where the shuffle's compression takes them."""
+    x = np.ascontiguousarray(x)
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes() if x.itemsize > 1 else x.tobytes()
+
+
+def unpacked(b: bytes, kind: str) -> np.ndarray:
+    t = np.dtype(kind)
+    if t.itemsize == 1:
+        return np.frombuffer(b, t)
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(t.itemsize, -1).T).view(t).reshape(-1)
+
+
 def blobs(bucket: np.ndarray, kind: int, names: list[str], **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each bucket; columns that aren't given stay empty."""
     if not len(bucket):
@@ -37,7 +50,7 @@ def blobs(bucket: np.ndarray, kind: int, names: list[str], **columns: np.ndarray
     for n in names:
         if n in columns:
             x = np.ascontiguousarray(columns[n][order])
-            cols.append(pa.array([x[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()))
+            cols.append(pa.array([packed(x[i:j]) for i, j in zip(first, ends, strict=True)], pa.binary()))
         else:
             cols.append(pa.array([b""] * len(first), pa.binary()))
     yield pa.RecordBatch.from_arrays(cols, ["bucket", "kind", *names])
@@ -51,7 +64,7 @@ def gather(df: DataFrame, types: dict[str, str], work: Callable[[int, dict[str,
 
         def flush():
             for kind in sorted(held):
-                yield from work(kind, {n: np.concatenate([np.frombuffer(x, t) for x in held[kind][n]]) for n, t in types.items()})
+                yield from work(kind, {n: np.concatenate([unpacked(x, t) for x in held[kind][n]]) for n, t in types.items()})
 
         for b in batches:
             cols = {n: b.column(n) for n in types}

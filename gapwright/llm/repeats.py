@@ -321,7 +321,7 @@ def byte_repeats(docs: DataFrame) -> DataFrame:
             for name in names:
                 if name in cols:
                     v = cols[name][one]
-                    arrays.append(pa.array([v[x:y].tobytes() for x, y in zip(f, e, strict=True)], pa.binary()))
+                    arrays.append(pa.array([exchange.packed(v[x:y]) for x, y in zip(f, e, strict=True)], pa.binary()))
                 elif name == "data":
                     arrays.append(pa.array(data, pa.binary()))
                 else:
