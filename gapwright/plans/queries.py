@@ -804,3 +804,84 @@ def vf3_repeatability(spark, d):
 def fm5_sequence_inference(spark, d):
     daily, pool = _both(spark, d)
     return backends.infer(series.model_series(daily), pool.where("gap_length = 14"), backends.Stand())
+
+
+# --- more aggregates and set operations -------------------------------------------------------------------
+
+
+@query(f"""WITH {PREDICTED} SELECT method, count(DISTINCT gap_id) AS n_gaps, count(*) AS n_days, {r6('avg(a)', 'day_weighted_mae')}, {r6('sqrt(avg(e * e))', 'rmse')} FROM scored GROUP BY 1""")
+def ag10_scores_counted_before(spark, d):
+    s = scoring.scores(_scored(spark, d), "method", counted_before=True)
+    return _round(s.select("method", "n_gaps", "n_days", "day_weighted_mae", "rmse"), "day_weighted_mae", "rmse")
+
+
+@query(f"""WITH {PREDICTED}, s AS (SELECT method, count(*) AS n_gaps FROM (SELECT DISTINCT method, gap_id FROM scored WHERE e IS NOT NULL) GROUP BY 1)
+SELECT method, n_gaps, CASE method WHEN 'linear' THEN 'reproduced' WHEN 'persistence' THEN 'mismatched' ELSE 'unavailable' END AS status FROM s""")
+def ag17_against_frozen(spark, d):
+    rows = _scored(spark, d)
+    s = scoring.scores(rows, "method").where("method <> 'climatology'")
+    frozen = s.select("method", (F.col("gap_weighted_mae") + F.when(F.col("method") == "linear", 0.01).otherwise(1.0)).alias("frozen_mae"))
+    return scoring.against_frozen(rows, frozen).select("method", "n_gaps", "status")
+
+
+@query(f"{_LABELS} SELECT gap_id, season AS majority FROM se")
+def ag21_majority_season(spark, d):
+    _, pool = _both(spark, d)
+    return intervals.majority(intervals.hidden_days(pool), "gap_id", S.season(F.col("date")), "x")
+
+
+@query("""WITH h AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS date, count(DISTINCT hour(ts)) AS k FROM events GROUP BY 1, 2),
+c AS (SELECT series_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM h GROUP BY 1)
+SELECT series_id, count(*) AS n_days, count(*) FILTER (k >= 22) AS n_eligible, min(date) AS first_day, max(date) AS last_day FROM c LEFT JOIN h USING (series_id, date) GROUP BY 1""")
+def ag23_coverage_by_series(spark, d):
+    days = covariates.daily_from_hours(series.hourly(spark, d)).select("series_id", "date", F.col("mean").alias("value"), F.col("eligible_ge_22").alias("eligible"))
+    return intervals.coverage(intervals.densify(days)).select("series_id", "n_days", "n_eligible", "first_day", "last_day")
+
+
+@query(f"WITH {_METRICS} SELECT method, {r6('100 * (avg(mae) / (SELECT avg(mae) FROM gm WHERE method = \'linear\') - 1)', 'change_pct')} FROM gm WHERE mae IS NOT NULL GROUP BY 1")
+def ag24_improvement(spark, d):
+    return _round(scoring.improvement(_scored(spark, d), "linear").select("method", "change_pct"), "change_pct")
+
+
+@query(f"""WITH {_METRICS}, g AS (SELECT gap_id, mae AS v, row_number() OVER (ORDER BY gap_id) - 1 AS i FROM gm WHERE method = 'linear' AND mae IS NOT NULL), sz AS (SELECT count(*) AS c FROM g),
+dr AS (SELECT r, ('0x' || substr(md5('42|' || r || '|' || s), 1, 8))::BIGINT % c AS i FROM sz, generate_series(0, 199) a(r), LATERAL (SELECT unnest(generate_series(0, c - 1)) AS s) q),
+rp AS (SELECT r, avg(v) AS m FROM dr JOIN g USING (i) GROUP BY r)
+SELECT {r6('(SELECT avg(v) FROM g)', 'mean')}, {r6('quantile_cont(m, 0.025)', 'lo')}, {r6('quantile_cont(m, 0.975)', 'hi')} FROM rp""")
+def ps1_cluster_interval(spark, d):
+    m = scoring.gap_metrics(_scored(spark, d).where("method = 'linear'"), digits=9)
+    return _round(paired.cluster_interval(m, "mae", 200), "mean", "lo", "hi")
+
+
+@query(f"WITH {POOL} SELECT gap_id, start FROM pool ORDER BY start, gap_id LIMIT 10")
+def so4_first_gaps(spark, d):
+    _, pool = _both(spark, d)
+    return pool.orderBy("start", "gap_id").limit(10).select("gap_id", "start")
+
+
+@query(f"WITH {POOL} SELECT gap_length::BIGINT AS gap_length, count(*) AS n FROM (SELECT gap_length, gap_id FROM pool UNION ALL SELECT gap_length, gap_id FROM pool WHERE gap_length > 1) GROUP BY 1")
+def st1_union_all(spark, d):
+    _, pool = _both(spark, d)
+    return pool.unionByName(pool.where("gap_length > 1")).groupBy("gap_length").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {POOL} SELECT gap_id, 2::BIGINT AS n FROM pool WHERE gap_length > 1")
+def st5_repeated_gaps(spark, d):
+    _, pool = _both(spark, d)
+    return pool.unionByName(pool.where("gap_length > 1")).groupBy("gap_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("SELECT 0::BIGINT AS n")
+def lk5_no_leak(spark, d):
+    daily, pool = _both(spark, d)
+    return masking.leaked(masking.visible(daily, pool, 30, 30), pool).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def ml4_external_reference(spark, d):
+    daily, pool = _both(spark, d)
+    table = edges.edge_table(daily, pool).join(series.feature_series(spark, d).drop("x"), "date", "left")
+    held = pool.where("gap_length = 14")
+    f = ["f_count", "f_mean", *edges.meta()]
+    train = masking.admissible(table, held).select("held_out", "x", *f, "truth_log")
+    test = table.join(held.select("gap_id"), "gap_id", "left_semi").select("series_id", "gap_id", "x", *f, "truth_log")
+    return models.leave_one_gap_out(test, train, f, "truth_log", "boosted", rounds=30)
