@@ -194,7 +194,11 @@ def _put(folder: str, name: str, data: bytes) -> None:
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as f:
         f.write(data)
-    store.move(part, f"{path}/{name}")
+    try:
+        store.move(part, f"{path}/{name}")
+    except OSError:  # some stores don't rename onto a file that an earlier attempt left
+        store.delete_file(f"{path}/{name}")
+        store.move(part, f"{path}/{name}")
 
 
 def bounds(docs: DataFrame, rows_per_shard: int, most: int = 20_000) -> list[int]:
