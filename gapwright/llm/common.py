@@ -71,6 +71,13 @@ class Scratch:
             self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Drops every table but these."""
+        fs, p = self._fs(self.root)
+        for entry in fs.listStatus(p) if fs.exists(p) else []:
+            if entry.getPath().getName() not in names:
+                fs.delete(entry.getPath(), True)
+
     def drop(self, name: str = "") -> None:
         try:
             fs, p = self._fs(self.path(name) if name else self.root)
