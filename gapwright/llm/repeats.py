@@ -208,13 +208,13 @@ class _Run:
     def __init__(self, docs: DataFrame, kind, name: str, alone: bool):
         self.docs, self.kind = _identified(docs), kind
         self.scratch = Scratch(docs.sparkSession, name)
-        found = self.scratch.save(repeated_anchors(docs, kind, alone), "anchors")
+        found = self.scratch.save(repeated_anchors(docs, kind, alone), "anchors", tidy=True)
         self.found = found
         first = self.docs.groupBy("tid").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"))
         self.classes = self.scratch.save(first, "classes")
         own = found.join(self.classes, "tid").select("tid", F.col("first").alias("rank"), "anchors")
         # (tid, rank) spreads the copies of a text, and only its first document passes.
-        self.texts = self.scratch.save(self.docs.select("tid", "rank", "text").join(own, ["tid", "rank"]), "texts")
+        self.texts = self.scratch.save(self.docs.select("tid", "rank", "text").join(own, ["tid", "rank"]), "texts", tidy=True)
 
     def marked(self, sent: DataFrame, types: dict[str, str], work, reduce) -> DataFrame:
         met = exchange.gather(sent, types, work, exchange.schema_of(["t", "a", "b"]))
@@ -396,7 +396,8 @@ def byte_repeats(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["tid", "r_n", "r_spans", "r_sha"])
 
-    result = run.scratch.save(marked.mapInArrow(finish, "tid long, r_n long, r_spans long, r_sha string"), "result")
+    result = run.scratch.save(marked.mapInArrow(finish, "tid long, r_n long, r_spans long, r_sha string"), "result", tidy=True)
+    run.scratch.keep("result", "classes")
     whole = run.docs.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     all_ = whole.join(run.classes.join(result, "tid", "left"), "tid")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
@@ -535,7 +536,8 @@ def word_repeats(docs: DataFrame) -> DataFrame:
                 ["doc_id", "tid", "rank", "n_words", "sha"],
             )
 
-    result = run.scratch.save(marked.mapInArrow(finish, "tid long, r_n long, r_sha string"), "result")
+    result = run.scratch.save(marked.mapInArrow(finish, "tid long, r_n long, r_sha string"), "result", tidy=True)
+    run.scratch.keep("result", "classes")
     every = run.docs.select("doc_id", "text", "tid", "rank").mapInArrow(whole, "doc_id long, tid long, rank long, n_words long, sha string")
     all_ = every.join(run.classes.join(result, "tid", "left"), "tid")
     copied = (F.col("rank") > F.col("first")) & (F.col("n_words") >= kind.window)
