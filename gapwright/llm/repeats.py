@@ -213,8 +213,9 @@ class _Run:
         first = self.docs.groupBy("tid").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"))
         self.classes = self.scratch.save(first, "classes")
         own = found.join(self.classes, "tid").select("tid", F.col("first").alias("rank"), "anchors")
-        # (tid, rank) spreads the copies of a text, and only its first document passes.
-        self.texts = self.scratch.save(self.docs.select("tid", "rank", "text").join(own, ["tid", "rank"]), "texts", tidy=True)
+        # (tid, rank) spreads the copies of a text, and only its first document passes: once, though its row be repeated.
+        texts = self.docs.select("tid", "rank", "text").dropDuplicates(["tid", "rank"])
+        self.texts = self.scratch.save(texts.join(own, ["tid", "rank"]), "texts", tidy=True)
 
     def marked(self, sent: DataFrame, types: dict[str, str], work, reduce) -> DataFrame:
         met = exchange.gather(sent, types, work, exchange.schema_of(["t", "a", "b"]))

@@ -50,6 +50,16 @@ def test_word_repeats(docs, rows, empty):
     assert sum(w[2] for w in want) > 200 and repeats.word_repeats(empty).count() == 0
 
 
+def test_repeated_rows_stay_as_many(spark, empty):
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    passage, other = say(400), say(300)
+    rows = [(5, passage + " " + say(30))] * 3 + [(3, say(20) + " " + passage)] + [(None, say(40) + " " + other)] * 4 + [(9, other + " " + say(9))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    test_byte_repeats(docs, rows, empty)
+    test_word_repeats(docs, rows, empty)
+
+
 def test_columnwise_order():
     rng = np.random.default_rng(4)
     for _ in range(30):
