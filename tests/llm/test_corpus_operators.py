@@ -142,6 +142,16 @@ def test_one_of_each(docs, rows, empty):
     assert similarity.one_of_each(empty).count() == 0 and similarity.similar(empty).count() == 0
 
 
+def test_one_of_each_of_texts_under_one_id(spark):
+    rng = np.random.default_rng(12)
+    say = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    a, b, c, d, e = (say(50) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, b), (2, c), (2, d), (2, d), (2, ""), (3, c + " more"), (None, None), (4, e), (5, e)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, part string")
+    got = Counter((r["doc_id"], r["text"]) for r in similarity.one_of_each(docs).collect())
+    assert got == Counter([(None, a), (None, b), (2, c), (2, d), (2, ""), (None, None), (4, e)])
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5100)]
