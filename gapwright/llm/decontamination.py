@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII bytes, lower-cased in A-Z, so punctuation and layout don't
-matter. A test item's seeds are its 4-word grams; the rare ones are those whose document frequency in the
-corpus is among the item's lower three quarters. A document's hits of an item that lie on about one diagonal
-make a passage; if rare seeds agree on it, its words are aligned with the item's, and the local alignment's
-score against that of a whole match decides.
+matter. A test item's seeds are its word pairs; a document hits one with two words that are neighbours or have
+one word between. An alignment that reaches the threshold keeps a least number of seeds within a greatest number
+of words (see `bounds`), so places with fewer hits can't hold a copy. All others are aligned with the item, and the
+local alignment's score against that of a whole match decides. Rare seeds, whose document frequency in the corpus
+is among the item's lower three quarters, are only counted.
 
 Items go to the executors in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more scans.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from .common import _SPACE, binary, concat_ranges, grams, pieces, words
 
-SEED = 4
+SEED = 2
 BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a whole match's score from which a passage is a copy.
@@ -54,6 +55,17 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def bounds(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(least number of seeds, greatest number of words) of a passage that aligns with n words at the threshold or more.
+
+    Let the score t = 2 n threshold or more come from m matches, e words of the item that don't match and i words put
+    in: 2m - e - i >= t and m + e <= n. Two successive matches are a hit unless a lost word or two put in lie between,
+    so hits >= m - 1 - e - i / 2 >= (2t - n) / 3 - 1; and the passage has m + e + i <= 3n - t words.
+    """
+    t = MATCH * n * threshold
+    return np.maximum(1, np.ceil((2 * t - n - 3) / 3 - 1e-9)).astype(np.int64), np.maximum(1, np.floor(3 * n - t + 1e-9)).astype(np.int64)
+
+
 class Items:
     """A block of test items with their seeds."""
 
@@ -84,13 +96,17 @@ class Items:
             if len(own):
                 self.rare[own] = df[own] <= np.quantile(df[own], 0.75, method="lower")
 
-    def hits(self, raw: np.ndarray, off: np.ndarray):
-        """(word hashes, rows' first words, place of each hit, number of its seed)."""
+    def hits(self, raw: np.ndarray, off: np.ndarray, gapped: bool = True):
+        """(word hashes, rows' first words, place of each hit, number of its seed); gapped: pairs with a word between, too."""
         h, _, _, first = words(raw, off, True, _PARTS)
         places, numbers = [], []
-        for k in {SEED, *self.short}:
-            g = grams(h, k)
-            n = np.maximum(first[1:] - first[:-1] - k + 1, 0)
+        for k, reach in [(k, k) for k in sorted({SEED, *self.short})] + [(SEED, SEED + 1)] * gapped:
+            if reach == k:
+                g = grams(h, k)
+            else:  # words j and j + 2, hashed as a pair of neighbours
+                pairs = np.stack([h[:-2], h[2:]], 1).ravel() if len(h) > 2 else h[:0]
+                g = grams(pairs, 2)[::2]
+            n = np.maximum(first[1:] - first[:-1] - reach + 1, 0)
             ok = concat_ranges(first[:-1], n)
             ok = ok[self.filter[(g[ok] >> np.uint64(44)).astype(np.int64)]]
             lo, hi = np.searchsorted(self.seeds, g[ok], "left"), np.searchsorted(self.seeds, g[ok], "right")
@@ -104,24 +120,33 @@ class Items:
         if not len(place):
             return
         row = np.searchsorted(first, place, "right") - 1
-        item, at = self.item[number], place - self.offset[number]
-        order = np.lexsort((at, item, row))
-        row, item, at, number = row[order], item[order], at[order], number[order]
-        size = np.array([len(w) for w in self.words])[item]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > np.maximum(4, size[1:] // 3))
-        cut = np.append(np.flatnonzero(new), len(row))
+        order = np.lexsort((place, self.item[number], row))
+        row, place, number = row[order], place[order], number[order]
+        item = self.item[number]
+        need, span = (x[item] for x in bounds(np.array([len(w) for w in self.words]), threshold))
+        group = row * len(self.words) + item
+        # Hits from which enough lie within the span; what aligns from there begins and ends in [lo, hi).
+        last = np.arange(len(row)) + need - 1
+        end = np.minimum(last, len(row) - 1)
+        at = np.flatnonzero((last < len(row)) & (group[end] == group) & (place[end] - place < span))
+        if not len(at):
+            return
+        lo, hi = place[end[at]] - span[at], place[at] + span[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (group[at][1:] != group[at][:-1]) | (lo[1:] > hi[:-1])
+        cut = np.append(np.flatnonzero(new), len(at))
+        ends = np.searchsorted(group, group[at], "right")
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            k, r, n = int(item[i]), int(row[i]), int(size[i])
-            rare = len({int(x) for x in number[i:j] if self.rare[x]})
-            if rare < (2 if n >= 2 * SEED else 1):
+            x = int(at[i])
+            k, r = int(item[x]), int(row[x])
+            a, b = max(int(first[r]), int(lo[i])), min(int(first[r + 1]), int(hi[j - 1]))
+            own = number[x : x + int(np.searchsorted(place[x : int(ends[i])], b))]
+            if len(np.unique(self.offset[own])) < need[x]:
                 continue
-            slack = max(5, n // 4)
-            lo, hi = max(int(first[r]), int(at[i]) - slack), min(int(first[r + 1]), int(at[j - 1]) + n + slack)
-            score, s, e = align(self.words[k], h[lo:hi])
-            score /= MATCH * n
+            score, s, e = align(self.words[k], h[a:b])
+            score /= MATCH * len(self.words[k])
             if score >= threshold:
-                yield r, k, score, rare, lo + s - int(first[r]), lo + e - int(first[r])
+                yield r, k, score, len(np.unique(own[self.rare[own]])), a + s - int(first[r]), a + e - int(first[r])
 
 
 def _blocks(benchmark: DataFrame):
@@ -144,7 +169,7 @@ def _counted(docs: DataFrame, items: Items) -> Items:
         n = np.zeros(len(own.seeds), np.int64)
         for b in batches:
             for _, raw, off in pieces(binary(b.column("text"))):
-                _, first, place, number = own.hits(raw, off)
+                _, first, place, number = own.hits(raw, off, gapped=False)
                 if len(place):
                     row = np.searchsorted(first, place, "right") - 1
                     pairs = np.unique(row * len(own.seeds) + number)

@@ -209,6 +209,33 @@ def test_decontamination(spark, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_no_edited_copy_is_lost():
+    rng = np.random.default_rng(9)
+    lost = found = 0
+    for trial in range(600):
+        n = int(rng.integers(16, 21))
+        item = [f"w{k}" for k in rng.integers(0, 300, n)]
+        copy = []
+        for k, w in enumerate(item):
+            kind = rng.random() / (0.25, 0.3, 0.35)[trial % 3]
+            edited = (k % 4 == 3) if trial % 10 == 0 else kind < 1
+            copy += [w] if not edited else [f"x{trial}"] if trial % 10 == 0 or kind < 0.6 else [] if kind < 0.75 else [w, f"y{k}"]
+        if trial % 10 == 1:  # a word put in after each
+            copy = [x for w in item for x in (w, "in")]
+        text = " ".join([*(f"w{k}" for k in rng.integers(0, 300, 40)), *copy, *(f"w{k}" for k in rng.integers(0, 300, 40))])
+        own = decontamination.Items([0], [" ".join(item)])
+        own.mark(np.arange(len(own.seeds)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        off = np.array([0, len(raw)])
+        want = decontamination.align(own.words[0], own.hits(raw, off)[0])[0] / (2 * n)
+        got = max((p[2] for p in own.passages(raw, off, 0.5)), default=0)
+        if want >= 0.5:
+            found, lost = found + 1, lost + (got != want)
+        else:
+            assert got == 0
+    assert lost == 0 and found > 300
+
+
 def test_exchange_brings_buckets_together(spark):
     def emit(batches):
         for b in batches:
