@@ -100,11 +100,10 @@ def kalman_parameters(daily: DataFrame) -> DataFrame:
     return daily.select("series_id", "x", "y").groupBy("series_id").applyInPandas(run, "series_id string, sigma_q double, sigma_r double, degenerate boolean")
 
 
-def kalman_gaps(daily: DataFrame, pool: DataFrame, parameters: DataFrame, context: int = 365) -> DataFrame:
-    """Smoothed values of hidden days; each gap sees its masked series within context days."""
+def kalman_gaps(daily: DataFrame, pool: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Smoothed values of hidden days; each gap sees its whole series but for its own days."""
     rows = daily.join(pool.select("series_id", "gap_id", "start", "end"), "series_id").join(F.broadcast(parameters), "series_id")
     a, b = F.unix_date("start"), F.unix_date("end")
-    rows = rows.where(F.col("x").between(a - context, b + context))
     rows = rows.select("series_id", "gap_id", "x", F.when(~F.col("x").between(a, b), F.col("y")).alias("y"), F.col("x").between(a, b).alias("hidden"), "sigma_q", "sigma_r")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -598,7 +598,7 @@ def ml14_kalman_parameters(spark, d):
 def ml15_kalman_gaps(spark, d):
     daily, pool = _both(spark, d)
     y = series.model_series(daily)
-    return models.kalman_gaps(y, pool, models.kalman_parameters(y), context=120)
+    return models.kalman_gaps(y, pool, models.kalman_parameters(y))
 
 
 @query()
@@ -607,7 +607,7 @@ def ml17_engineered_hybrid(spark, d):
     y = daily.withColumn("y", F.when(F.col("eligible"), S.guarded_log10(F.col("value"))))
     routed = pool.withColumn("method", S.route(F.col("gap_length"), "C"))
     anchor = baselines.anchor(daily, pool).select("series_id", "gap_id", "x", "prediction", F.lit(None).cast("double").alias("spread"))
-    kalman = models.kalman_gaps(y, pool, models.kalman_parameters(y), context=120)
+    kalman = models.kalman_gaps(y, pool, models.kalman_parameters(y))
     return models.hybrid(routed, {"gaussian_process": models.gp_gaps(y, pool), "kalman": kalman, "gap_edge": anchor})
 
 

@@ -134,6 +134,20 @@ def test_kalman_without_noise_is_interpolation():
     assert all(best >= models.log_likelihood(walk, q, r) - 1e-3 for q in (0.5, 0.8, 1.0, 1.2) for r in (0.01, 0.3, 0.5, 1.0))
 
 
+def test_kalman_gaps_see_the_whole_series(spark):
+    rng = np.random.default_rng(4)
+    y = np.concatenate([rng.normal(100, 5, 500), rng.normal(0, 5, 400)])
+    daily = spark.createDataFrame([("s", k, float(v)) for k, v in enumerate(y)], "series_id string, x int, y double")
+    pool = spark.createDataFrame([("s", "g", 600, 606)], "series_id string, gap_id string, a int, b int").selectExpr("series_id", "gap_id", "date_from_unix_date(a) as start", "date_from_unix_date(b) as end")
+    parameters = spark.createDataFrame([("s", 0.01, 5.0, False)], "series_id string, sigma_q double, sigma_r double, degenerate boolean")
+    masked = y.copy()
+    masked[600:607] = np.nan
+    s, v = models.kalman(masked, 0.01, 5.0)
+    got = models.kalman_gaps(daily, pool, parameters).toPandas().sort_values("x")
+    assert got["x"].tolist() == list(range(600, 607))
+    assert np.allclose(got["prediction"], s[600:607]) and np.allclose(got["spread"], v[600:607])
+
+
 def test_gaussian_process_interpolates():
     x, y = np.arange(12.0), np.sin(np.arange(12.0) / 2)
     m, s = models.gp_fixed(x, y, x, noise=1e-8)
