@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in pieces of about this many bytes, so numpy's temporaries stay small.
 PIECE_BYTES = 1 << 21
+#: Within a piece (one text can be longer) bytes are hashed in blocks of about this many.
+BLOCK_BYTES = 1 << 21
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -33,15 +35,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Scratch:
     """A folder of this call's own below spark.checkpoint.dir, for tables and files that cut lineage.
 
-    The setting is read from the session; only where it is unset a local folder is
-    chosen, as in tests. Folders are removed when the interpreter ends, and single
-    tables as soon as the caller drops them.
+    The setting is read from the session. Where it is unset, a session in local mode (as in tests) gets a folder
+    of its own, and any other is refused. Folders are removed when the interpreter ends, and single tables as soon
+    as the caller drops them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not f"{spark.sparkContext.master}[".startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = _fallback()
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
@@ -181,12 +185,19 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool, space: np.ndarray = _SP
     starts[glued] = True
     ends[glued] = True
     s, e = np.flatnonzero(starts), np.flatnonzero(ends)
-    up, down = _pow(n)
-    with np.errstate(over="ignore"):
-        acc = np.empty(n + 1, np.uint64)
-        acc[0] = 0
-        np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * up, out=acc[1:])
-        h = mix((acc[e] - acc[s]) * down[s] + (e - s).astype(np.uint64) * _ODD)
+    h = np.empty(len(s), np.uint64)
+    i = 0
+    while i < len(s):  # some words at a time: the sums below take 40 bytes for each byte of text
+        j = max(i + 1, int(np.searchsorted(e, s[i] + BLOCK_BYTES, "right")))
+        a, b = int(s[i]), int(e[j - 1])
+        up, down = _pow(b - a)
+        own = raw[a:b]
+        with np.errstate(over="ignore"):
+            acc = np.empty(b - a + 1, np.uint64)
+            acc[0] = 0
+            np.cumsum(_BYTE[_LOWER[own] if lower else own] * up, out=acc[1:])
+            h[i:j] = mix((acc[e[i:j] - a] - acc[s[i:j] - a]) * down[s[i:j] - a] + (e[i:j] - s[i:j]).astype(np.uint64) * _ODD)
+        i = j
     return h, s, e, np.searchsorted(s, off)
 
 

@@ -1,6 +1,8 @@
 """Arrays between tasks: rows of packed binary columns, one row for each bucket that a flush of a task fills.
 
-A bucket's rows meet in one task and are worked on bucket by bucket, so a task holds one bucket at a time.
+A bucket's rows meet in one task and are worked on bucket by bucket, so a task holds one bucket at a time. What a
+task sends on is pooled over its buckets, so it makes a row for each target and FLUSH entries, not one for each pair
+of buckets.
 """
 
 from __future__ import annotations
@@ -11,16 +13,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import partitions
+from .common import concat_ranges, partitions
 
 #: Buckets for each shuffle partition.
 BUCKETS_EACH = 4
+#: Entries that a task gathers before it sends them on.
+FLUSH = 1_000_000
 
 
 def buckets(df: DataFrame) -> int:
     return BUCKETS_EACH * partitions(df.sparkSession)
 
 
+def coarse(df: DataFrame) -> int:
+    """Buckets of what is small beside the input, as answers: one for each shuffle partition."""
+    return partitions(df.sparkSession)
+
+
 def schema_of(names: list[str]) -> str:
     return "bucket int, kind int, " + ", ".join(f"{n} binary" for n in names)
 
@@ -56,15 +65,63 @@ def blobs(bucket: np.ndarray, kind: int, names: list[str], **columns: np.ndarray
     yield pa.RecordBatch.from_arrays(cols, ["bucket", "kind", *names])
 
 
-def gather(df: DataFrame, types: dict[str, str], work: Callable[[int, dict[str, np.ndarray]], Iterator[pa.RecordBatch]], out: str) -> DataFrame:
-    """Brings each bucket's rows together and gives work(kind, arrays) for each of its kinds."""
+def ragged(bucket: np.ndarray, kind: int, names: list[str], data: str, flat: np.ndarray, begin: np.ndarray, many: np.ndarray, /, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """As blobs, with a column `data` of which entry i has many[i] values from flat[begin[i]] on."""
+    if not len(bucket):
+        return
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    first, ends = by_key(b)
+    cols = [pa.array(b[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32))]
+    for n in names:
+        if n == data:
+            cols.append(pa.array([packed(flat[concat_ranges(begin[order[i:j]], many[order[i:j]])]) for i, j in zip(first, ends, strict=True)], pa.binary()))
+        elif n in columns:
+            x = np.ascontiguousarray(columns[n][order])
+            cols.append(pa.array([packed(x[i:j]) for i, j in zip(first, ends, strict=True)], pa.binary()))
+        else:
+            cols.append(pa.array([b""] * len(first), pa.binary()))
+    yield pa.RecordBatch.from_arrays(cols, ["bucket", "kind", *names])
+
+
+class Pool:
+    """Entries for other tasks, kept until there are FLUSH of them."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.held, self.size = names, {}, 0
+
+    def add(self, bucket: np.ndarray, kind: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(bucket):
+            self.held.setdefault(kind, []).append((bucket, columns))
+            self.size += len(bucket)
+        if self.size >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        held, self.held, self.size = self.held, {}, 0
+        for kind, own in held.items():
+            yield from blobs(np.concatenate([b for b, _ in own]), kind, self.names, **{n: np.concatenate([c[n] for _, c in own]) for n in own[0][1]})
+
+
+def gather(df: DataFrame, types: dict[str, str], work: Callable, out: str, send: list[str] | None = None) -> DataFrame:
+    """Brings each bucket's rows together and gives work(kind, arrays) for each of its kinds.
+
+    work yields record batches of the schema `out`; with `send` it yields (bucket, kind, columns) for the next
+    exchange instead, which are pooled over all buckets of the task.
+    """
 
     def run(batches):
         now, held = None, {}
+        pool = Pool(send or [])
 
         def flush():
             for kind in sorted(held):
-                yield from work(kind, {n: np.concatenate([unpacked(x, t) for x in held[kind][n]]) for n, t in types.items()})
+                given = work(kind, {n: np.concatenate([unpacked(x, t) for x in held[kind][n]]) for n, t in types.items()})
+                if send is None:
+                    yield from given
+                    continue
+                for bucket, k, columns in given:
+                    yield from pool.add(bucket, k, **columns)
 
         for b in batches:
             cols = {n: b.column(n) for n in types}
@@ -76,6 +133,7 @@ def gather(df: DataFrame, types: dict[str, str], work: Callable[[int, dict[str,
                 for n in types:
                     own[n].append(cols[n][i].as_py())
         yield from flush()
+        yield from pool.flush()
 
     n = partitions(df.sparkSession)
     return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, out)

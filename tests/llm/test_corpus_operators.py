@@ -81,6 +81,88 @@ def test_prefix_cuts_bound_groups():
     assert len(repeats.prefix_cuts({}, 8)) == 0
 
 
+def test_prefix_cuts_divide_heavy_pairs():
+    cuts = repeats.prefix_cuts({3: 9000, 5: 40}, 10, {(3, 9): 8000}).astype(object)
+    inside = [c for c in cuts if c >> 32 == (3 << 16 | 9)]
+    assert len(inside) >= 8 and ((3 << 48) + (10 << 32)) in cuts and (np.diff(cuts) > 0).all()
+
+
+def test_suffixes_are_sorted_by_words():
+    rng = np.random.default_rng(14)
+    for _ in range(20):
+        flat = rng.integers(0, 3, 200).astype(np.uint64) * np.uint64(1 << 60)
+        at = np.sort(rng.choice(190, 60, replace=False))
+        order, common = repeats.sorted_suffixes(flat, at, 7)
+        rows = [tuple(flat[i : i + 7].tolist()) for i in at[order]]
+        assert rows == sorted(rows)
+        for k in range(1, len(rows)):
+            same = next((j for j in range(7) if rows[k][j] != rows[k - 1][j]), 7)
+            assert common[k] == same
+        segment, place, beyond, head = repeats.subtree(flat, np.array([50, 90, 60]), np.array([5, 2, 5]), 7)
+        begin, rank = np.array([0, 50, 140]), np.array([5, 2, 5])
+        least = {}
+        for i, p in zip(segment, place, strict=True):
+            w = tuple(flat[begin[i] + p : begin[i] + p + 7].tolist())
+            least[w] = min(least.get(w, 9), int(rank[i]))
+        assert [bool(b) for b in beyond] == [rank[i] > least[tuple(flat[begin[i] + p : begin[i] + p + 7].tolist())] for i, p in zip(segment, place, strict=True)]
+        assert head.sum() == len(least)
+
+
+def test_an_anchor_in_many_surroundings(spark, empty, monkeypatch):
+    """One passage of a window's length, in many texts of which some share more around it; anchors are divided."""
+    rng = np.random.default_rng(13)
+    say = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    short, around = say(14), [say(30) for _ in range(3)]
+    rows = [(i, say(20) + " " + (around[i % 3] if i % 5 == 0 else say(30)) + " " + short + " " + (around[i % 3] if i % 7 == 0 else say(30))) for i in range(150)]
+    rows += [(1000, "ab" * 700_000 + say(40) + " " + around[0] + " " + short), (1001, "z" * (1 << 20) + around[0] + " " + short + " " + "q " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    test_word_repeats(docs, rows, empty)
+    strings = [(i, t[-3000:]) for i, t in rows]
+    docs = spark.createDataFrame(strings, "doc_id long, text string").repartition(3)
+    test_byte_repeats(docs, strings, empty)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_divided_anchors_lose_no_window(seed):
+    rng = np.random.default_rng(seed)
+    window, k, left = 200, 32, 168
+    anchor = rng.integers(97, 120, k)
+    sides = [rng.integers(97, 120, left) for _ in range(4)]
+    strings, ats = [], []
+    for _ in range(60):
+        a, b = int(rng.integers(0, left + 1)), int(rng.integers(0, left + 1))
+        if a + b < left:
+            b = left
+        x, y = sides[rng.integers(4)].copy(), sides[rng.integers(4)].copy()
+        for side in (x, y):
+            if rng.random() < 0.6:
+                side[rng.integers(left)] = 65
+        strings.append(np.concatenate([x[left - a :] if a else x[:0], anchor, y[:b]]).astype(np.uint8))
+        ats.append(a)
+    size, at = np.array([len(x) for x in strings]), np.array(ats)
+    begin, data = np.cumsum(size) - size, np.concatenate(strings)
+    whole = repeats.columnwise(data, left - at, size, left + window, window)
+    want = {(i, int(c) - (left - ats[i])) for i in range(60) for c in np.flatnonzero(whole[:, i])}
+    got = set()
+    for own, a, n in repeats.divided(begin, size, at, data, k, window):
+        part = np.concatenate([strings[i][x : x + m] for i, x, m in zip(own, a, n, strict=True)])
+        start = left - at[own] + a
+        found = repeats.columnwise(part, start, n, left + window, window)
+        got |= {(int(i), int(c) - int(start[j]) + int(a[j])) for j, i in enumerate(own) for c in np.flatnonzero(found[:, j])}
+    assert got == want and len(want) > 20
+
+
+def test_long_text_is_hashed_in_blocks(monkeypatch):
+    from gapwright.llm import common
+
+    rng = np.random.default_rng(15)
+    raw = rng.choice(np.frombuffer(b"abcAB \n", np.uint8), 5000)
+    off = np.array([0, 10, 10, 4000, 5000])
+    want = common.words(raw, off, True)
+    monkeypatch.setattr(common, "BLOCK_BYTES", 7)
+    assert all((a == b).all() for a, b in zip(want, common.words(raw, off, True), strict=True))
+
+
 def shingles(t):
     lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", lower)
