@@ -18,6 +18,18 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT a, y FROM r JO
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)
 """
 
+OP5 = """
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT k, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT k, h, unnest(generate_series(0, len(h) // 2 - 200)) AS i FROM t WHERE len(h) >= 400)),
+m AS (SELECT k, i FROM w SEMI JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) r USING (g)),
+e AS (SELECT k, i, coalesce(i - lag(i) OVER (PARTITION BY k ORDER BY i) > 200, true) AS fresh FROM m),
+s AS (SELECT k, min(i) AS a, max(i) + 200 AS b FROM (SELECT k, i, sum(fresh::INT) OVER (PARTITION BY k ORDER BY i) AS n FROM e) GROUP BY k, n),
+p AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS prev FROM s),
+c AS (SELECT k, sum(b - a) AS r, count(*) AS n, max(b) AS z, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS h FROM p JOIN t USING (k) GROUP BY k)
+SELECT doc_id, len(t.h) // 2 AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(CASE WHEN c.k IS NULL THEN t.h ELSE c.h || substr(t.h, 2 * z + 1) END)) AS kept_sha256 FROM t LEFT JOIN c USING (k)
+"""
+
 OP7 = f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM w WHERE len(ws) >= 13)),
@@ -49,4 +61,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM m JOIN y ON m.lang IS NOT DISTINCT FROM y.lang AND m.source IS NOT DISTINCT FROM y.source
 """
 
-SQL = {"op3_jaccard_join": OP3, "op6_chat_formatting": chat.SQL, "op7_word_dedup": OP7, "op8_quality_rules": OP8}
+SQL = {"op3_jaccard_join": OP3, "op5_byte_dedup": OP5, "op6_chat_formatting": chat.SQL, "op7_word_dedup": OP7, "op8_quality_rules": OP8}
