@@ -2,7 +2,9 @@
 
 A text is cut at places where the tokenizer's own pre-tokenization always cuts, so the
 ids of the pieces, one behind the other, are the ids of the text. Pieces repeat a lot;
-only unseen ones go to the library. Strings of special tokens in a text are ordinary text.
+only unseen ones go to the library. Texts that hold a special token's string go there whole, since what
+the library does with it is part of the ids; so do texts of tokenizers that split in another way than the two
+known here, and odd white space.
 """
 
 from __future__ import annotations
@@ -28,6 +30,17 @@ _SPLIT = {
 }
 
 
+def _kind(spec: dict) -> str:
+    """'space', 'drop', or 'whole' for a tokenizer whose cuts aren't known here."""
+    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
+        return "space"
+    steps = [x.get("type") for x in pre.get("pretokenizers", [])]
+    if steps == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("pattern") == {"Regex": _SPLIT["drop"]} and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+        return "drop"
+    return "whole"
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte to letter of byte-level vocabularies: printable bytes stand for themselves, others follow from 256."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -36,7 +49,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """kind 'space': pieces keep the space before them (byte-level BPE). kind 'drop': white space has no ids, case is folded."""
+    """kind 'space': pieces keep the space before them (byte-level BPE). kind 'drop': white space has no ids, case is folded.
+    kind 'whole': nothing is cut."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,12 +58,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.kind = "space" if pre.get("type") == "ByteLevel" and pre.get("use_regex") else "drop"
-        self.split = regex.compile(_SPLIT[self.kind]).findall
+        self.kind = _kind(spec)
+        self.added = [x["content"].lower().encode() for x in spec.get("added_tokens", [])]
+        self.split = regex.compile(_SPLIT.get(self.kind, "")).findall
         self.model = self.full.model
         self.letters = _byte_letters()
         self.young: dict[bytes, bytes] = {}
@@ -86,9 +99,12 @@ class Encoder:
         young.update(zip([k for k, _ in rest], self._ids([s for _, s in rest]), strict=True))
 
     def _pieces(self, raw: bytes) -> list[bytes] | None:
+        if self.kind == "whole":
+            return None
         if self.kind == "drop":
-            return raw.lower().split()
-        if raw.endswith(b" ") or any(x in raw for x in _AFTER):
+            low = raw.lower()
+            return None if any(x in low for x in self.added) else low.split()
+        if raw.endswith(b" ") or any(x in raw for x in _AFTER) or any(x in raw.lower() for x in self.added):
             return None
         first, *rest = raw.split(b" ")
         return ([first] if first else []) + [b" " + x for x in rest]

@@ -49,13 +49,13 @@ b AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_s
 m AS (SELECT *, coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS m1, coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0) AS m2, coalesce(n_dup_lines::DOUBLE / nullif(n_words, 0), 0) AS m3, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS m4 FROM b),
 u AS (SELECT lang, source, 1 AS k, m1 AS x FROM m UNION ALL SELECT lang, source, 2, m2 FROM m UNION ALL SELECT lang, source, 3, m3 FROM m UNION ALL SELECT lang, source, 4, m4 FROM m),
 v AS (SELECT lang, source, k, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.02::DOUBLE)) END AS bk FROM u),
-q AS (SELECT lang, source, k, max(c) AS docs, min(CASE WHEN rc >= 0.25 * c THEN coalesce(pow(1.02::DOUBLE, bk), 0) END) AS q1, min(CASE WHEN rc >= 0.75 * c THEN coalesce(pow(1.02::DOUBLE, bk), 0) END) AS q3
-  FROM (SELECT lang, source, k, bk, sum(n) OVER (PARTITION BY lang, source, k ORDER BY bk NULLS FIRST) AS rc, sum(n) OVER (PARTITION BY lang, source, k) AS c FROM (SELECT lang, source, k, bk, count(*) AS n FROM v GROUP BY ALL)) GROUP BY ALL),
-h AS (SELECT k, min(CASE WHEN rc >= 0.25 * c THEN coalesce(pow(1.02::DOUBLE, bk), 0) END) AS g1, min(CASE WHEN rc >= 0.75 * c THEN coalesce(pow(1.02::DOUBLE, bk), 0) END) AS g3
-  FROM (SELECT k, bk, sum(n) OVER (PARTITION BY k ORDER BY bk NULLS FIRST) AS rc, sum(n) OVER (PARTITION BY k) AS c FROM (SELECT k, bk, count(*) AS n FROM v GROUP BY ALL)) GROUP BY ALL),
-z AS (SELECT lang, source, k, CASE WHEN docs < 100 THEN g1 ELSE q1 END AS q1, CASE WHEN docs < 100 THEN g3 ELSE q3 END AS q3 FROM q JOIN h USING (k)),
-y AS (SELECT lang, source, max(CASE WHEN k = 1 THEN q1 - greatest(1.5, 3 * (q3 - q1)) END) AS l1, max(CASE WHEN k = 1 THEN q3 + greatest(1.5, 3 * (q3 - q1)) END) AS h1, max(CASE WHEN k = 2 THEN q3 + greatest(0.05, 3 * (q3 - q1)) END) AS h2,
-  max(CASE WHEN k = 3 THEN q3 + greatest(0.02, 3 * (q3 - q1)) END) AS h3, max(CASE WHEN k = 4 THEN q3 + greatest(0.15, 3 * (q3 - q1)) END) AS h4 FROM z GROUP BY 1, 2)
+o AS (SELECT lang, source, k, bk, count(*)::HUGEINT AS n FROM v GROUP BY ALL),
+g2 AS (SELECT k, bk, sum(n)::HUGEINT AS n FROM o GROUP BY ALL),
+bl AS (SELECT lang, source, k, bk, n * (SELECT count(*) FROM m) AS n FROM o UNION ALL SELECT lang, source, k, g2.bk, 100 * g2.n FROM (SELECT DISTINCT lang, source, k FROM o) JOIN g2 USING (k)),
+q AS (SELECT lang, source, k, min(CASE WHEN rc * 1000 >= c * 100 THEN coalesce(pow(1.02::DOUBLE, bk), 0) END) AS q0, min(CASE WHEN rc * 1000 >= c * 500 THEN coalesce(pow(1.02::DOUBLE, bk), 0) END) AS q1, min(CASE WHEN rc * 1000 >= c * 900 THEN coalesce(pow(1.02::DOUBLE, bk), 0) END) AS q2
+  FROM (SELECT lang, source, k, bk, sum(n) OVER (PARTITION BY lang, source, k ORDER BY bk NULLS FIRST)::HUGEINT AS rc, sum(n) OVER (PARTITION BY lang, source, k)::HUGEINT AS c FROM (SELECT lang, source, k, bk, sum(n) AS n FROM bl GROUP BY ALL)) GROUP BY ALL),
+y AS (SELECT lang, source, max(CASE WHEN k = 1 THEN least(q0 - 2 * (q1 - q0), q1 - 0.5) END) AS l1, max(CASE WHEN k = 1 THEN greatest(q2 + 2 * (q2 - q1), q1 + 0.5) END) AS h1, max(CASE WHEN k = 2 THEN greatest(q2 + 2 * (q2 - q1), q1 + 0.02) END) AS h2,
+  max(CASE WHEN k = 3 THEN greatest(q2 + 2 * (q2 - q1), q1 + 0.015) END) AS h3, max(CASE WHEN k = 4 THEN greatest(q2 + 2 * (q2 - q1), q1 + 0.1) END) AS h4 FROM q GROUP BY 1, 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND m1 BETWEEN l1 AND h1 AND m2 <= h2 AND m3 <= h3 AND m4 <= h4 AS kept
 FROM m JOIN y ON m.lang IS NOT DISTINCT FROM y.lang AND m.source IS NOT DISTINCT FROM y.source

@@ -34,20 +34,21 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFrame:
-    """One row for each piece of every whole text; key spreads rows of a length."""
+    """One row for each piece of every whole text; key spreads rows of a length, those of one (or no) doc_id too."""
 
     def run(batches):
-        enc, tail = bpe.encoder(tokenizer), int(end).to_bytes(4, "little")
+        enc, tail, seen = bpe.encoder(tokenizer), int(end).to_bytes(4, "little"), 0
         for b in batches:
             texts = binary(b.column("text")).to_pylist()
             names = b.column("doc_id").to_pylist()
             for lo, hi in bpe.batches(texts):
                 rows = []
+                seen += hi - lo
                 for doc, ids in zip(names[lo:hi], enc.encode(texts[lo:hi]), strict=True):
                     ids += tail
                     for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                         crc = zlib.crc32(ids[4 * s : 4 * (s + n)])
-                        rows.append((doc, k, s, n, crc, zlib.crc32(b"%d:%d" % (doc or 0, k)) & 0xFFFF))
+                        rows.append((doc, k, s, n, crc, zlib.crc32(b"%d:%d:%d:%d" % (doc or 0, k, crc, seen + len(rows))) & 0xFFFF))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int32()] + [pa.int64()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "key"])

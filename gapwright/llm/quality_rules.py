@@ -2,8 +2,9 @@
 
 Everything is a DataFrame or SQL expression. A sketch is a histogram over geometric buckets: two
 sketches merge by adding counts, and a quantile read from one is within `gamma` of the true value.
-Sketches of (lang, source) give fences for each statistic; groups of few documents use the sketch
-that all groups merge into. The thresholds are then joined to the documents.
+The sketch of a (lang, source) is blended with the sketch that all groups merge into, which weighs PRIOR documents, so
+a group's own shape counts the more the larger it is, by one rule for all sizes. Fences of each statistic are read
+from the blend, relative to the group's median and outer deciles, and joined to the documents.
 """
 
 from __future__ import annotations
@@ -15,18 +16,19 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Statistic to (SQL expression, least distance of the fence from the quartile, is there a lower fence).
+#: Statistic to (SQL expression, least distance of a fence from the median, is there a lower fence). The least distance
+#: acts where nearly all documents of a group have one value, as no symbols at all.
 METRICS = {
-    "word_length": ("word_chars / n_words", 1.5, True),
-    "symbol_share": ("n_symbols / word_chars", 0.05, False),
-    "dup_line_share": ("n_dup_lines / n_words", 0.02, False),
-    "repeat_share": ("n_repeat_words / n_words", 0.15, False),
+    "word_length": ("word_chars / n_words", 0.5, True),
+    "symbol_share": ("n_symbols / word_chars", 0.02, False),
+    "dup_line_share": ("n_dup_lines / n_words", 0.015, False),
+    "repeat_share": ("n_repeat_words / n_words", 0.1, False),
 }
 GAMMA = 1.02
-#: Fence: quartile and this many interquartile ranges beyond it.
-REACH = 3.0
-#: Groups with fewer documents use the merged sketch.
-LEAST = 100
+#: Fence: a decile and this many distances between decile and median beyond it.
+REACH = 2.0
+#: Documents that the merged sketch weighs in each group's blend.
+PRIOR = 100
 
 _WHITE = "\\t\\n\\u000b\\u000c\\r"
 
@@ -34,8 +36,8 @@ _WHITE = "\\t\\n\\u000b\\u000c\\r"
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """Base counts of whole texts (null: none). Words are `[^\\x20\\x09-\\x0D]+`.
 
-    Word windows are compared by 64-bit hashes with the window's place in the low bits: after one sort,
-    equal windows are neighbours. A text of n words leaves 64 - bits(n) bits to the hash.
+    Word windows are sorted by (64-bit hash, place), so equal ones are neighbours, and neighbours of one hash are
+    compared word by word. Texts of any length are treated alike.
     """
     d = docs.select(*keep, F.expr("coalesce(text, '')").alias("text"))
     d = d.withColumn("flat", F.expr(f"translate(text, '{_WHITE}', '     ')"))
@@ -47,15 +49,14 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
         F.expr("cast(char_length(replace(flat, ' ', '')) as bigint)").alias("word_chars"),
         F.expr("cast(char_length(text) - char_length(translate(text, '#*$%&|<>', '')) as bigint)").alias("n_symbols"),
         F.expr("cast(size(lines) - size(array_distinct(lines)) as bigint)").alias("n_dup_lines"),
-        F.expr("char_length(bin(size(words)))").alias("b"),
     )
-    window = "shiftleft(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)), b) | cast(i as bigint)"
-    d = d.withColumn("s", F.expr(f"if(n_words < 4, cast(array() as array<bigint>), sort_array(transform(sequence(0, cast(greatest(n_words, 3) - 3 as int)), i -> {window})))"))
-    d = d.drop("words")
-    same = "case when shiftright(x, b) = shiftright(get(s, j + 1), b) or shiftright(x, b) = shiftright(get(s, j - 1), b) then x & (shiftleft(1L, b) - 1) end"
-    d = d.withColumn("f", F.expr(f"sort_array(array_compact(transform(s, (x, j) -> {same})))")).drop("s", "b")
+    window = "struct(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)) as h, i as i)"
+    d = d.withColumn("s", F.expr(f"if(n_words < 4, cast(array() as array<struct<h: bigint, i: int>>), sort_array(transform(sequence(0, cast(greatest(n_words, 3) - 3 as int)), i -> {window})))"))
+    alike = " and ".join(f"get(words, x.i + {k}) = get(words, get(s, {{0}}).i + {k})" for k in range(3))
+    same = " or ".join(f"(x.h = get(s, {j}).h and {alike.format(j)})" for j in ("j + 1", "j - 1"))
+    d = d.withColumn("f", F.expr(f"sort_array(array_compact(transform(s, (x, j) -> case when {same} then x.i end)))")).drop("s", "words")
     return d.withColumn(
-        "n_repeat_words", F.expr("aggregate(transform(f, (x, j) -> least(3L, x - coalesce(get(f, j - 1), -3L))), 0L, (a, x) -> a + x)")
+        "n_repeat_words", F.expr("aggregate(transform(f, (x, j) -> cast(least(3, x - coalesce(get(f, j - 1), -3)) as bigint)), 0L, (a, x) -> a + x)")
     ).drop("f")
 
 
@@ -71,29 +72,41 @@ def sketches(stats: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """q1 and q3 of each (by, metric): the upper end of the first bucket that reaches the rank."""
-    merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
+def quantiles(sketch: DataFrame, *by: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """q0, q1, ... of each (by, metric), for shares in per mille steps: the upper end of the first bucket that reaches the rank.
+
+    sketch: (by, metric, bucket, n) with whole weights n.
+    """
+    merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
     over = Window.partitionBy(*by, "metric")
     reached = merged.withColumn("reached", F.sum("n").over(over.orderBy(F.col("bucket").asc_nulls_first()))).withColumn("all", F.sum("n").over(over))
     value = F.coalesce(F.pow(F.lit(GAMMA), "bucket"), F.lit(0.0))
-    q = lambda p: F.min(F.when(F.col("reached") >= F.col("all") * p, value))
-    return reached.groupBy(*by, "metric").agg(q(0.25).alias("q1"), q(0.75).alias("q3"), F.max("all").alias("docs"))
+    q = lambda p: F.min(F.when(F.col("reached") * 1000 >= F.col("all") * round(1000 * p), value))
+    return reached.groupBy(*by, "metric").agg(*[q(p).alias(f"q{k}") for k, p in enumerate(shares)])
+
+
+def blended(sketch: DataFrame) -> DataFrame:
+    """Each group's sketch with the merged one of all groups, which weighs PRIOR documents. Weights are whole numbers:
+    own counts times the number of all documents, and the merged counts times PRIOR."""
+    own = sketch.groupBy("lang", "source", "metric", "bucket").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    whole = sketch.groupBy("metric", "bucket").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    total = whole.groupBy("metric").agg(F.sum("n").alias("total"))
+    weighed = own.join(total, "metric").select("lang", "source", "metric", "bucket", (F.col("n") * F.col("total")).cast("decimal(38,0)").alias("n"))
+    groups = own.select("lang", "source", "metric").distinct()
+    prior = groups.join(whole, "metric").select("lang", "source", "metric", "bucket", (F.col("n") * PRIOR).cast("decimal(38,0)").alias("n"))
+    return weighed.unionByName(prior)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per (lang, source) with low_ and high_ of each metric."""
-    own = quantiles(sketch, "lang", "source")
-    whole = quantiles(sketch).select("metric", F.col("q1").alias("g1"), F.col("q3").alias("g3"))
-    both = own.join(whole, "metric")
-    few = F.col("docs") < LEAST
-    both = both.select("lang", "source", "metric", F.when(few, F.col("g1")).otherwise(F.col("q1")).alias("q1"), F.when(few, F.col("g3")).otherwise(F.col("q3")).alias("q3"))
+    both = quantiles(blended(sketch), "lang", "source")
     cols = []
-    for k, (_, slack, lower) in METRICS.items():
-        far = F.greatest(F.lit(slack), REACH * (F.col("q3") - F.col("q1")))
+    for k, (_, least, lower) in METRICS.items():
         mine = F.col("metric") == k
-        cols.append(F.max(F.when(mine, F.col("q3") + far)).alias(f"high_{k}"))
-        cols.append(F.max(F.when(mine, F.col("q1") - far if lower else F.lit(-1.0))).alias(f"low_{k}"))
+        high = F.greatest(F.col("q2") + REACH * (F.col("q2") - F.col("q1")), F.col("q1") + least)
+        low = F.least(F.col("q0") - REACH * (F.col("q1") - F.col("q0")), F.col("q1") - least)
+        cols.append(F.max(F.when(mine, high)).alias(f"high_{k}"))
+        cols.append(F.max(F.when(mine, low if lower else F.lit(-1.0))).alias(f"low_{k}"))
     return both.groupBy("lang", "source").agg(*cols)
 
 
@@ -102,7 +115,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. kept: not
     base_failed, and every statistic within the fences of the document's language and source.
-    Null text: no words. Null lang or source: groups of their own. Repeated rows stay. Empty table: no rows.
+    Null or empty text: no words, base_failed. Null lang or source: groups of their own. Repeated rows stay. Empty
+    table: no rows. Very long texts are judged whole.
     """
     scratch = Scratch(docs.sparkSession, "op8")
     stats = scratch.save(_metrics(statistics(docs, "doc_id", "lang", "source")), "stats")

@@ -1,6 +1,8 @@
 """Operators that look at each text alone."""
 
 import hashlib
+import json
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gapwright.llm import bpe, chat, packing, pii, quality_model, quality_rules, token_shards
 
@@ -16,14 +19,32 @@ BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe
 ODD = ["a  b\n c   \n\nd ", " 　x\n  ý İz ΣΑΣ!! <|endoftext|> a\xa0 b", "", "it's 'tis don't, we'll 5 10. a.b,c", "é \U0001f600ok", "\x1c a\x1fb", "ÉÀÇ Straße, ÑANDÚ!!"]
 
 
+def library(path):
+    return Tokenizer.from_file(path)
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_memo_gives_the_librarys_ids(path, rows):
-    enc = bpe.Encoder(path)
+    enc, plain = bpe.Encoder(path), library(path)
+    assert enc.kind == {BYTE: "space", WORD: "drop"}[path]
     texts = ODD + [t or "" for _, t in rows]
+    rng = random.Random(4)
+    some = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "  ", "\n", "a", "It's", "É", "7", "."]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randrange(9))) for _ in range(600)]
     for _ in range(2):  # from the library, then from the memo
         got = enc.encode([t.encode() for t in texts])
         for t, g in zip(texts, got, strict=True):
-            assert np.frombuffer(g, "<u4").tolist() == enc.full.encode(t, add_special_tokens=False).ids, t
+            assert np.frombuffer(g, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_unknown_splits_are_left_to_the_library(tmp_path):
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    texts = ["one two", "", " x"]
+    assert bpe.Encoder(path).kind == "whole"
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(path).encode([t.encode() for t in texts])] == [library(path).encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing_plan_is_dense():
@@ -47,8 +68,8 @@ def test_packing_plan_is_dense():
 
 def test_packing(spark, docs, rows, empty):
     out = packing.pack(docs, BYTE, 0, 256).toPandas()
-    enc = bpe.Encoder(BYTE)
-    want = Counter((i, len(enc.full.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    plain = library(BYTE)
+    want = Counter((i, len(plain.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
     out["doc"] = out["doc_id"].astype("object").where(out["doc_id"].notna(), None)
     assert out["length"].sum() == sum(n * c for (_, n), c in want.items())
     for _, g in out.groupby("sequence_id"):
@@ -57,7 +78,7 @@ def test_packing(spark, docs, rows, empty):
     one = next(i for i, t in rows if t and len(t) > 15000)
     long = out[out["doc_id"] == one].sort_values("piece")
     assert set(long["length"].iloc[1:]) == {256}
-    ids = enc.full.encode(dict(rows)[one], add_special_tokens=False).ids + [0]
+    ids = plain.encode(dict(rows)[one], add_special_tokens=False).ids + [0]
     assert [zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) for s, n in zip(long["start"], long["length"])] == long["ids_crc32"].tolist()
     assert packing.pack(empty, BYTE, 0, 256).count() == 0
 
@@ -81,8 +102,8 @@ def test_shard_round_trip():
 
 def test_token_shards(spark, docs, rows, empty):
     out = token_shards.token_shards(docs, WORD, 2, rows_per_shard=8).toPandas()
-    enc = bpe.Encoder(WORD)
-    want = sorted(((-1 if i is None else i), len(x) + 1, zlib.crc32(np.array(x + [2], "<u4").tobytes())) for i, t in rows for x in [enc.full.encode(t or "", add_special_tokens=False).ids])
+    plain = library(WORD)
+    want = sorted(((-1 if i is None else i), len(x) + 1, zlib.crc32(np.array(x + [2], "<u4").tobytes())) for i, t in rows for x in [plain.encode(t or "", add_special_tokens=False).ids])
     got = sorted(zip(out["doc_id"].fillna(-1).astype(int), out["n_tokens"], out["ids_crc32"]))
     assert got == want
     out = out.sort_values("start")
@@ -108,8 +129,6 @@ def plain_spans(t):
 
 
 def test_base_spans_equal_the_patterns():
-    import random
-
     rng = random.Random(3)
     for i in range(8000):
         t = "".join(rng.choice("aZ0.1@ -+()259%é\n") for _ in range(rng.randrange(50)))
@@ -192,16 +211,74 @@ def test_quality_rules(spark, docs, rows, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
-def test_sketches_merge():
-    assert quality_rules.GAMMA < 1.05
+def plain_fences(stats, name, least, lower):
+    """From the blend's buckets, in plain Python: {(lang, source): (low, high)}."""
+    import math
+
+    bucket = lambda x: math.ceil(math.log(x) / math.log(quality_rules.GAMMA)) if x > 0 else None
+    whole = Counter(bucket(r[name]) for r in stats)
+    groups: dict = {}
+    for r in stats:
+        groups.setdefault((r["lang"], r["source"]), Counter())[bucket(r[name])] += 1
+    out = {}
+    for g, own in groups.items():
+        n = Counter({k: own[k] * len(stats) + quality_rules.PRIOR * whole[k] for k in whole})
+        total, q = sum(n.values()), []
+        for p in (100, 500, 900):
+            at = 0
+            for k in sorted(n, key=lambda k: (k is not None, k or 0)):
+                at += n[k]
+                if at * 1000 >= total * p:
+                    q.append(0.0 if k is None else quality_rules.GAMMA**k)
+                    break
+        out[g] = (min(q[0] - 2 * (q[1] - q[0]), q[1] - least) if lower else -1.0, max(q[2] + 2 * (q[2] - q[1]), q[1] + least))
+    return out
+
+
+def test_kept_by_plain_fences(spark):
+    """The verdicts, from counts and fences in plain Python; groups of few and of many documents, null ones too."""
+    rng = random.Random(9)
+    texts = []
+    for i in range(260):
+        n = rng.choice((20, 60, 90, 140))
+        t = " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(2, 5 + i % 7))) for _ in range(n))
+        texts.append((i, t + (" #%&" * rng.randrange(9) if i % 6 == 0 else "") + ("\nagain\nagain" if i % 9 == 0 else ""), ("en", "de", None)[i % 3], f"s{min(i % 5, 1)}" if i % 4 else None))
+    texts += [(900, None, "en", "s1"), (900, None, "en", "s1"), (901, "", "xx", "alone")]
+    df = spark.createDataFrame([(*t, "z") for t in texts], "doc_id long, text string, lang string, source string, words string")
+    stats = []
+    for i, t, lang, source in texts:
+        n, chars, symbols, dup, rep = plain_counts(t)
+        shares = (chars / n if n else 0.0, symbols / chars if chars else 0.0, dup / n if n else 0.0, rep / n if n else 0.0)
+        stats.append({"id": i, "lang": lang, "source": source, "failed": n < 50 or 100 * rep > 50 * n, **dict(zip(quality_rules.METRICS, shares, strict=True))})
+    fences = {k: plain_fences(stats, k, least, lower) for k, (_, least, lower) in quality_rules.METRICS.items()}
+    want = Counter((r["id"], not r["failed"] and all(fences[k][r["lang"], r["source"]][0] <= r[k] <= fences[k][r["lang"], r["source"]][1] for k in fences)) for r in stats)
+    got = Counter((r["doc_id"], r["kept"]) for r in quality_rules.quality_rules(df).collect())
+    assert got == want and 20 < sum(v for (_, k), v in got.items() if k) < 220
+    assert len({f[1] for f in fences["word_length"].values()}) >= 3
+
+
+def test_very_long_text(spark):
+    rng = random.Random(2)
+    t = " ".join(f"w{rng.randrange(400)}" for _ in range(60_000))
+    row = quality_rules.statistics(spark.createDataFrame([(1, t)], "doc_id long, text string"), "doc_id").first()
+    assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == plain_counts(t) and row["n_repeat_words"] > 100
+
+
+def test_sketches_merge(spark):
+    """Sketches of parts, added, are the sketch of all."""
+    stats = spark.range(3000).select(F.lit("en").alias("lang"), F.lit("s").alias("source"), (F.col("id") % 3).alias("part"), *[(F.col("id") % 97 / 10).alias(m) for m in quality_rules.METRICS])
+    key = ["lang", "source", "metric", "bucket"]
+    parts = quality_rules.sketches(stats.where("part = 0")).union(quality_rules.sketches(stats.where("part = 1"))).union(quality_rules.sketches(stats.where("part = 2")))
+    merged = parts.groupBy(key).agg(F.sum("n").alias("n"))
+    assert Counter(map(tuple, merged.collect())) == Counter(map(tuple, quality_rules.sketches(stats).select(*key, "n").collect()))
 
 
 def test_quantiles_from_sketches_are_near(spark):
     stats = spark.range(4000).select(F.lit("en").alias("lang"), F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("source"), *[(F.col("id") / 1000 + 1).alias(m) for m in quality_rules.METRICS])
-    q = {r["source"]: r for r in quality_rules.quantiles(quality_rules.sketches(stats), "lang", "source").where("metric = 'word_length'").collect()}
-    whole = quality_rules.quantiles(quality_rules.sketches(stats)).where("metric = 'word_length'").first()
+    q = {r["source"]: r for r in quality_rules.quantiles(quality_rules.sketches(stats), "lang", "source", shares=(0.25, 0.75)).where("metric = 'word_length'").collect()}
+    whole = quality_rules.quantiles(quality_rules.sketches(stats), shares=(0.25, 0.75)).where("metric = 'word_length'").first()
     for r in (*q.values(), whole):
-        assert abs(r["q1"] / 2 - 1) < 0.025 and abs(r["q3"] / 4 - 1) < 0.025
+        assert abs(r["q0"] / 2 - 1) < 0.025 and abs(r["q1"] / 4 - 1) < 0.025
 
 
 def test_chat(spark):
