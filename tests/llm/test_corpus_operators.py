@@ -169,7 +169,8 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def plain_components(rows):
+def plain_roots(rows):
+    """(doc_id, size of the set, component as a row number, its least doc_id) of each row."""
     sets = [(key(i), shingles(t)) for i, t in rows]
     up = list(range(len(sets)))
 
@@ -186,7 +187,11 @@ def plain_components(rows):
     least = {}
     for i, (d, _) in enumerate(sets):
         least[root(i)] = min(least.get(root(i), d), d)
-    return Counter((d, len(s), least[root(i)]) for i, (d, s) in enumerate(sets))
+    return [(d, len(s), root(i), least[root(i)]) for i, (d, s) in enumerate(sets)]
+
+
+def plain_components(rows):
+    return Counter((d, n, least) for d, n, _, least in plain_roots(rows))
 
 
 def near_group(n=400, seed=8):
@@ -213,13 +218,39 @@ def test_similarity(spark, docs, rows, which):
     assert Counter((key(r["doc_id"]), r["n_shingles"], key(r["component_id"])) for r in out) == plain_components(rows)
 
 
+def test_overlaps_with_the_stored_unions():
+    """Sums by query and part against a plain loop, in chunks too."""
+    rng = np.random.default_rng(17)
+    n = 500
+    node = rng.integers(0, 60, n)
+    h, own = np.unique(np.stack([rng.integers(0, 25, n), node]), axis=1)
+    comp, part, size, kept = own % 12, own % 20 + 100, 50 + own % 30, rng.integers(0, 2, len(own))
+    members = 1 + comp % 3
+    want = Counter()
+    kept_of = Counter()
+    for i in range(len(h)):
+        for p in set(part.tolist()):
+            cell = [j for j in range(len(h)) if h[j] == h[i] and part[j] == p]
+            if not cell or p == part[i]:
+                continue
+            j = cell[0]
+            if comp[j] != comp[i] and (members[i], comp[i]) < (members[j], comp[j]) and 4 * size[i] >= 3 * min(size[cell]) and 3 * size[i] <= 4 * max(size[cell]):
+                want[int(own[i]), p] += 1
+                kept_of[int(own[i]), p] += int(max(kept[i], max(kept[cell])))
+    for chunk in (10, 1 << 20):
+        similarity.PAIRS = chunk
+        r, g, c, k = similarity.overlaps(h.astype(np.uint64), own, comp, members, part, size, kept)
+        assert {(int(a), int(b)): int(x) for a, b, x in zip(r, g, c, strict=True)} == dict(want)
+        assert {(int(a), int(b)): int(x) for a, b, x in zip(r, g, k, strict=True)} == {key: kept_of[key] for key in want}
+    similarity.PAIRS = 4_000_000
+
+
 def test_one_of_each(docs, rows, empty):
     kept = similarity.one_of_each(docs)
     got = sorted((key(r["doc_id"]), r["text"] or "") for r in kept.collect())
-    comps = plain_components(rows)
-    grouped = {c for _, n, c in comps if n}
+    grouped = {root: least for _, n, root, least in plain_roots(rows) if n}  # components are told apart by row, not by doc_id
     assert kept.columns == docs.columns
-    assert sorted(i for i, t in got if t.strip()) == sorted(grouped)
+    assert sorted(i for i, t in got if t.strip()) == sorted(grouped.values())
     assert sum(not t.strip() for _, t in got) == sum(not (t or "").strip() for _, t in rows)
     assert similarity.one_of_each(empty).count() == 0 and similarity.similar(empty).count() == 0
 
@@ -351,7 +382,7 @@ def test_pipeline(spark):
     texts = step.toPandas()
     assert (texts["n_chars"] == texts["text"].str.len()).all() and not any(pii.base_spans(t) for t in texts["text"])
     rest = [(r["doc_id"], r["text"]) for r in quality_model.keep_good(docs, spark.read.parquet(f"{d}/labels.parquet")).collect()]
-    assert sizes[1] == len({c for _, n, c in plain_components(rest)})
+    assert sizes[1] == len({root for _, _, root, _ in plain_roots(rest)})
     out, want = corpus_pipeline.run(spark, d), packing.pack(step, public_tokenizers.path("byte_bpe_50k.json"))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
