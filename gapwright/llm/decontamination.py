@@ -1,13 +1,18 @@
-"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII bytes, lower-cased in A-Z, so punctuation and layout don't
 matter. A test item's seeds are its word pairs; a document hits one with two words that are neighbours or have
 one word between. An alignment that reaches the threshold keeps a least number of seeds within a greatest number
-of words (see `bounds`), so places with fewer hits can't hold a copy. All others are aligned with the item, and the
-local alignment's score against that of a whole match decides. Rare seeds, whose document frequency in the corpus
-is among the item's lower three quarters, are only counted.
+of words (see `bounds`). So an item's seeds are ordered by their document frequency in the corpus, the commonest are
+left out as far as any copy must still keep one of the others, and only documents that hold one of these rare seeds
+are joined to the item. Places with enough hits are then aligned with the item, and the local alignment's score
+against that of a whole match decides: no copy is lost on the way (the tests compare with exhaustive alignment).
 
-Items go to the executors in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more scans.
+Items shorter than LEAST_WORDS are found only in documents that are nothing but the item: within a longer text, so
+few words are no evidence of a copy.
+
+Seeds are joined by a broadcast of at most BLOCK_BYTES of items; a larger benchmark takes more blocks, each with two
+scans of the corpus (seed frequencies, then copies).
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a whole match's score from which a passage is a copy.
 THRESHOLD = 0.5
+#: Items with fewer words leak only as a whole document.
+LEAST_WORDS = 8
 
 _PARTS = _SPACE.copy()
 _PARTS[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
@@ -69,40 +76,44 @@ def bounds(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 class Items:
     """A block of test items with their seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = ids
-        self.words = []
-        h, item, offset = [], [], []
+    def __init__(self, ids: list[int], texts: list[str], threshold: float = THRESHOLD):
+        self.ids, self.words, self.whole = ids, [], {}
+        h, item, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, t in enumerate(texts):
             raw = np.frombuffer((t or "").encode(), np.uint8)
             w = words(raw, np.array([0, len(raw)]), True, _PARTS)[0]
             self.words.append(w)
-            g = grams(w, min(SEED, len(w))) if len(w) else w
+            if len(w) < LEAST_WORDS:
+                if len(w):
+                    self.whole.setdefault(w.tobytes(), []).append(i)
+                continue
+            g = grams(w, SEED)
             h.append(g)
             item.append(np.full(len(g), i))
             offset.append(np.arange(len(g)))
-        flat = np.concatenate(h) if h else np.zeros(0, np.uint64)
+        flat = np.concatenate(h)
         order = np.argsort(flat, kind="stable")
-        self.seeds, self.item, self.offset = flat[order], np.concatenate(item)[order] if h else flat, np.concatenate(offset)[order] if h else flat
+        self.seeds, self.item, self.offset = flat[order], np.concatenate(item)[order], np.concatenate(offset)[order]
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < SEED})
+        self.need, self.span = bounds(np.array([len(w) for w in self.words], np.int64), threshold)
         self.rare = np.ones(len(self.seeds), bool)
 
     def mark(self, df: np.ndarray) -> None:
-        """Rare seeds, from every seed's document frequency: the lower three quarters of each item's."""
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i)
-            if len(own):
-                self.rare[own] = df[own] <= np.quantile(df[own], 0.75, method="lower")
+        """Rare seeds, from every seed's document frequency: of an item's n seeds the n - need + 1 rarest."""
+        order = np.lexsort((self.offset, df, self.item))
+        item = self.item[order]
+        first = np.searchsorted(item, item)
+        n = np.searchsorted(item, item, "right") - first
+        self.rare[order] = np.arange(len(order)) - first < n - self.need[item] + 1
 
     def hits(self, raw: np.ndarray, off: np.ndarray, gapped: bool = True):
         """(word hashes, rows' first words, place of each hit, number of its seed); gapped: pairs with a word between, too."""
         h, _, _, first = words(raw, off, True, _PARTS)
-        places, numbers = [], []
-        for k, reach in [(k, k) for k in sorted({SEED, *self.short})] + [(SEED, SEED + 1)] * gapped:
-            if reach == k:
-                g = grams(h, k)
+        places, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for reach in (SEED, SEED + 1)[: 1 + gapped]:
+            if reach == SEED:
+                g = grams(h, SEED)
             else:  # words j and j + 2, hashed as a pair of neighbours
                 pairs = np.stack([h[:-2], h[2:]], 1).ravel() if len(h) > 2 else h[:0]
                 g = grams(pairs, 2)[::2]
@@ -114,16 +125,27 @@ class Items:
             numbers.append(concat_ranges(lo, hi - lo))
         return h, first, np.concatenate(places), np.concatenate(numbers)
 
+    def joined(self, first: np.ndarray, place: np.ndarray, number: np.ndarray):
+        """(row, place, seed) of hits in rows that hold a rare seed of the hit's item, by row, item and place."""
+        row = np.searchsorted(first, place, "right") - 1
+        pair = row * len(self.words) + self.item[number]
+        own = np.isin(pair, np.unique(pair[self.rare[number]]))
+        row, place, number = row[own], place[own], number[own]
+        order = np.lexsort((place, self.item[number], row))
+        return row[order], place[order], number[order]
+
     def passages(self, raw: np.ndarray, off: np.ndarray, threshold: float):
         """(row, item, score, rare seeds, first word, end word) of every copied passage of every row."""
         h, first, place, number = self.hits(raw, off)
+        if self.whole:
+            for r in np.flatnonzero((first[1:] > first[:-1]) & (first[1:] - first[:-1] < LEAST_WORDS)).tolist():
+                for k in self.whole.get(h[first[r] : first[r + 1]].tobytes(), ()):
+                    yield r, k, 1.0, 0, 0, int(first[r + 1] - first[r])
+        row, place, number = self.joined(first, place, number)
         if not len(place):
             return
-        row = np.searchsorted(first, place, "right") - 1
-        order = np.lexsort((place, self.item[number], row))
-        row, place, number = row[order], place[order], number[order]
         item = self.item[number]
-        need, span = (x[item] for x in bounds(np.array([len(w) for w in self.words]), threshold))
+        need, span = self.need[item], self.span[item]
         group = row * len(self.words) + item
         # Hits from which enough lie within the span; what aligns from there begins and ends in [lo, hi).
         last = np.arange(len(row)) + need - 1
@@ -149,7 +171,7 @@ class Items:
                 yield r, k, score, len(np.unique(own[self.rare[own]])), a + s - int(first[r]), a + e - int(first[r])
 
 
-def _blocks(benchmark: DataFrame):
+def _blocks(benchmark: DataFrame, threshold: float):
     """Items in blocks of bounded size, by identifier; the driver holds one block at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("length(trim(text)) > 0")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -157,7 +179,7 @@ def _blocks(benchmark: DataFrame):
     for k in range(count):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").collect()
         if own:
-            yield Items([r["item_id"] for r in own], [r["text"] for r in own])
+            yield Items([r["item_id"] for r in own], [r["text"] for r in own], threshold)
 
 
 def _counted(docs: DataFrame, items: Items) -> Items:
@@ -191,12 +213,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     """(doc_id, item_id, score, n_seeds, first_word, end_word): the best copy of each leaked item in each document.
 
     Null or empty texts and items leak nothing; an empty benchmark or corpus gives no rows. Items that occur
-    twice in the benchmark are found as themselves. Repeated documents are one if their doc_id is one.
+    twice in the benchmark are found as themselves. Repeated documents are one if their doc_id is one. An item of
+    fewer than LEAST_WORDS words is found in documents that are the item as a whole, with no seeds. Very long texts
+    are looked through whole; of equal scores the one with most rare seeds, then the first, is told.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = spark.createDataFrame([], LEAKS)
-    for items in _blocks(benchmark):
+    for items in _blocks(benchmark, threshold):
         shared = spark.sparkContext.broadcast(_counted(docs, items))
 
         def run(batches, shared=shared):
@@ -219,10 +243,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' rows and columns, without documents that hold a copy of a test item."""
+    """docs' rows and columns, without documents that hold a copy of a test item (see `leaks`).
+
+    Rows are judged one by one, by their text alone: null and empty texts stay, repeated rows stay or go together, null
+    and repeated doc_ids don't matter. An empty benchmark leaves all rows, an empty table has none.
+    """
     text = docs.columns.index("text")
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    for items in _blocks(benchmark):
+    for items in _blocks(benchmark, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(_counted(docs, items))
 
         def run(batches, shared=shared):
