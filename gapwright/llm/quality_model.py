@@ -57,16 +57,20 @@ def text_stats(t: bytes) -> tuple[float, ...]:
     )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """docs' columns with text replaced by the statistics of the whole text."""
-    keep = [f for f in docs.schema.fields if f.name != "text"]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in keep] + [T.StructField(f"s_{s}", T.DoubleType(), True) for s in STATS])
+#: Statistics as columns: a prefix that no table of documents has.
+_S = "_gapwright_s_"
+
+
+def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """docs' columns with text replaced by the statistics of the whole text; whole: the text stays, too."""
     text = docs.columns.index("text")
+    keep = [f for i, f in enumerate(docs.schema.fields) if whole or i != text]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in keep] + [T.StructField(_S + s, T.DoubleType(), True) for s in STATS])
 
     def run(batches):
         for b in batches:
             rows = np.array([text_stats(t.as_buffer().to_pybytes()) for t in binary(b.column(text))]).reshape(-1, len(STATS))
-            cols = [c for i, c in enumerate(b.columns) if i != text] + [pa.array(rows[:, j]) for j in range(len(STATS))]
+            cols = [c for i, c in enumerate(b.columns) if whole or i != text] + [pa.array(rows[:, j]) for j in range(len(STATS))]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -174,12 +178,12 @@ class RuleModel:
         self.rules, self.weights, self.bias = rules, weights, bias
 
     def column(self) -> Column:
-        """The score as one expression over the s_ columns."""
+        """The score as one expression over the statistics' columns."""
         z = F.lit(float(self.bias))
         for rule, w in zip(self.rules, self.weights, strict=True):
             hit = F.lit(True)
             for j, cut, above in rule:
-                c = F.col(f"s_{STATS[j]}")
+                c = F.col(_S + STATS[j])
                 hit &= (c > cut) if above else (c <= cut)
             z = z + F.when(hit, F.lit(float(w))).otherwise(F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-z))
@@ -190,15 +194,14 @@ class RuleModel:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
-    """With labels of one class only (or none), the model is a constant."""
-    if not len(y) or y.min() == y.max():
-        mean = float(y.mean()) if len(y) else 1.0
-        p = min(max(mean, 1e-3), 1 - 1e-3)
-        return RuleModel([], np.zeros(0), math.log(p / (1 - p)))
-    rules = Trees().rules(x, y)
-    m = np.stack([holds(r, x) for r in rules], 1).astype(np.float32)
-    share = m.mean(0)
+    """With labels of one class only (or none), or too few rows for a rule, the model is a constant."""
+    rules = Trees().rules(x, y) if len(y) and y.min() < y.max() else []
+    m = np.stack([holds(r, x) for r in rules], 1).astype(np.float32) if rules else np.zeros((len(y), 0), np.float32)
+    share = m.mean(0) if len(y) else np.zeros(0)
     own = np.flatnonzero((share > 0) & (share < 1))
+    if not len(own):
+        p = min(max(float(y.mean()) if len(y) else 1.0, 1e-3), 1 - 1e-3)
+        return RuleModel([], np.zeros(0), math.log(p / (1 - p)))
     _, first = np.unique(np.packbits(m[:, own] > 0, axis=0), axis=1, return_index=True)  # rules that hold for the same rows count once
     own = own[np.sort(first)]
     w, b = lasso(m[:, own], y)
@@ -213,13 +216,13 @@ def held_out() -> Column:
 def train(stats: DataFrame, labels: DataFrame) -> RuleModel:
     """Fits on labelled rows that aren't held out; a document with several labels has their majority."""
     one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_label_of")).agg((F.avg("quality") >= 0.5).cast("double").alias("_y"))
-    rows = stats.where(~held_out()).join(one, F.col("doc_id") == F.col("_label_of")).select("doc_id", "_y", *[f"s_{s}" for s in STATS])
+    rows = stats.select("doc_id", *[_S + s for s in STATS]).where(~held_out()).join(one, F.col("doc_id") == F.col("_label_of")).select("doc_id", "_y", *[_S + s for s in STATS])
     # Only about MAX_TRAIN rows pass before the limit, so tasks together send no more than that, however many they are.
     order = F.shiftrightunsigned(F.xxhash64("doc_id"), 44)
     share = min(1.0, 1.1 * MAX_TRAIN / max(1, rows.count()))
     rows = rows.where(order < int(share * (1 << 20))) if share < 1 else rows
-    rows = rows.orderBy(order, "doc_id", "s_n_words", "s_word_length").limit(MAX_TRAIN).toPandas()
-    return fit(rows[[f"s_{s}" for s in STATS]].to_numpy(float).reshape(-1, len(STATS)), rows["_y"].to_numpy(float))
+    rows = rows.orderBy(order, "doc_id", _S + "n_words", _S + "word_length").limit(MAX_TRAIN).toPandas()
+    return fit(rows[[_S + s for s in STATS]].to_numpy(float).reshape(-1, len(STATS)), rows["_y"].to_numpy(float))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -236,17 +239,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs' rows and columns, without those that the classifier rejects."""
-    scratch = Scratch(docs.sparkSession, "op2")
-    whole = scratch.save(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "stats")
-    model = train(whole, labels)
-    scratch.drop()
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    text = docs.columns.index("text")
+    """docs' rows and columns, without those that the classifier rejects.
 
-    def run(batches):
-        for b in batches:
-            x = np.array([text_stats(t.as_buffer().to_pybytes()) for t in binary(b.column(text))]).reshape(-1, len(STATS))
-            yield b.filter(pa.array(model.score(x) >= threshold))
-
-    return docs.mapInArrow(run, schema)
+    Statistics are computed once and kept beside the rows; the compiled rules judge every row. Null and empty texts
+    have the score of a text without words; without labels all rows stay; repeated rows stay or go together; an empty
+    table has no rows. Columns of any names are safe.
+    """
+    scratch = Scratch(docs.sparkSession, "op2")
+    whole = scratch.save(statistics(docs, whole=True), "whole")
+    model = train(whole.withColumn("doc_id", F.col("doc_id").cast("long")), labels)
+    return whole.where(model.column() >= threshold).select(*docs.columns)

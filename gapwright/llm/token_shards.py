@@ -36,6 +36,7 @@ BLOCK_BYTES = 1 << 17
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: A shard is closed beyond this many bytes of ids, so that any shard can be read back whole.
 SHARD_BYTES = 16 << 20
+MANIFEST = "shard long, sub long, part long, name string, rows long, tokens long"
 
 
 def encode_key(doc_id: int | None) -> bytes:
@@ -202,65 +203,106 @@ def _put(folder: str, name: str, data: bytes) -> None:
 
 
 def bounds(docs: DataFrame, rows_per_shard: int, most: int = 20_000) -> list[int]:
-    """Identifiers that cut documents into shards of about rows_per_shard rows; at most `most` of them."""
+    """Identifiers that cut documents into shards of about rows_per_shard rows; at most 2 * `most` of them. One that
+    several quantiles fall on is cut off from its neighbours, so that its rows are shards of their own."""
     n = docs.count()
     k = min(most, n // max(1, rows_per_shard))
     if k < 1:
         return []
     ids = docs.where("doc_id is not null")
-    found = ids.approxQuantile("doc_id", [i / (k + 1) for i in range(1, k + 1)], min(0.01, 0.2 / (k + 1)))
-    return sorted({int(x) for x in found})
+    found = [int(x) for x in ids.approxQuantile("doc_id", [i / (k + 1) for i in range(1, k + 1)], min(0.01, 0.2 / (k + 1)))]
+    hot = {a for a, b in zip(found, found[1:], strict=False) if a == b}
+    return sorted({*found, *(x + 1 for x in hot if x < (1 << 63) - 1)})
+
+
+def slots(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning deals to it."""
+    found: dict[int, int] = {}
+    lo = 0
+    while len(found) < n:
+        size = 8 * n + 64
+        for r in spark.range(lo, lo + size, 1, 1).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).collect():
+            found.setdefault(r["p"], r["id"])
+        lo += size
+    return [found[k] for k in range(n)]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int, rows_per_shard: int = 4096) -> DataFrame:
-    """Writes the shards and returns one row for each: (shard, part, name, rows, tokens)."""
-    cuts = bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")), rows_per_shard)
+    """Writes the shards and returns one row for each: (shard, sub, part, name, rows, tokens).
+
+    Null identifiers are shard 0. Shards are dealt out in turn, so no task has more than its share of them; a shard of
+    more than two shards' rows (one identifier's, see `bounds`) is dealt in subs, by a hash of its ids.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    n = max(1, min(len(cuts) + 1, 8 * partitions(spark)))
-    where = np.array(cuts, dtype=np.int64)
+    where = np.array(bounds(docs.select("doc_id"), rows_per_shard), dtype=np.int64)
+
+    def numbers(doc_ids):
+        return np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(where, doc_ids.fill_null(_FIRST).to_numpy(zero_copy_only=False), "right"))
+
+    def count(batches):
+        for b in batches:
+            v, n = np.unique(numbers(b.column("doc_id")), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(n.astype(np.int64))], ["shard", "n"])
+
+    rows = docs.select("doc_id").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()  # one for each shard
+    subs = np.ones(len(where) + 2, np.int64)
+    for r in rows:
+        if r["n"] > 2 * rows_per_shard and (r["shard"] == 0 or (r["shard"] >= 2 and r["shard"] <= len(where) - 1 and where[r["shard"] - 2] + 1 == where[r["shard"] - 1])):
+            subs[r["shard"]] = -(-r["n"] // rows_per_shard)
+    before = np.cumsum(subs) - subs
+    n = int(max(1, min(subs.sum(), 8 * partitions(spark))))
+    slot = np.array(slots(spark, n), np.int32)
 
     def tokenize(batches):
         enc, tail = bpe.encoder(tokenizer), struct.pack("<I", end)
         for b in batches:
             doc_ids = b.column("doc_id")
-            shard = np.searchsorted(where, doc_ids.fill_null(_FIRST).to_numpy(zero_copy_only=False), "right")
+            shard = numbers(doc_ids)
             texts = binary(b.column("text")).to_pylist()
             for lo, hi in bpe.batches(texts):
                 ids = [narrow(np.frombuffer(x + tail, "<u4")) for x in enc.encode(texts[lo:hi])]
-                wide = pa.array([w for w, _ in ids])
-                yield pa.RecordBatch.from_arrays([pa.array(shard[lo:hi], pa.int64()), doc_ids[lo:hi], wide, pa.array([x for _, x in ids], pa.binary())], ["shard", "doc_id", "wide", "ids"])
+                own = shard[lo:hi]
+                # equal rows can go to one sub: they differ in nothing that is asked for later
+                sub = np.array([zlib.crc32(x) for _, x in ids], np.int64) % subs[own]
+                cols = [pa.array(slot[(before[own] + sub) % n]), pa.array(own, pa.int64()), pa.array(sub), doc_ids[lo:hi], pa.array([w for w, _ in ids]), pa.array([x for _, x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "sub", "doc_id", "wide", "ids"])
 
     def run(batches):
         now, w, part = None, None, 0
 
         def close():
-            name = f"shard-{now:08d}-{part:04d}.sst"
+            name = f"shard-{now[0]:08d}-{now[1]:06d}-{part:04d}.sst"
             _put(folder, name, w.bytes())
-            return pa.RecordBatch.from_pydict({"shard": [now], "part": [part], "name": [name], "rows": [w.rows], "tokens": [w.tokens]})
+            return pa.RecordBatch.from_pydict({"shard": [now[0]], "sub": [now[1]], "part": [part], "name": [name], "rows": [w.rows], "tokens": [w.tokens]})
 
         for b in batches:
-            for shard, doc_id, wide, ids in zip(*(b.column(x).to_pylist() for x in ("shard", "doc_id", "wide")), b.column("ids"), strict=True):
-                if w is not None and (shard != now or w.raw >= SHARD_BYTES):
+            for shard, sub, doc_id, wide, ids in zip(*(b.column(x).to_pylist() for x in ("shard", "sub", "doc_id", "wide")), b.column("ids"), strict=True):
+                if w is not None and ((shard, sub) != now or w.raw >= SHARD_BYTES):
                     yield close()
-                    part, w = (part + 1 if shard == now else 0), None
+                    part, w = (part + 1 if (shard, sub) == now else 0), None
                 if w is None:
-                    now, w = shard, ShardWriter()
+                    now, w = (shard, sub), ShardWriter()
                 w.add(encode_key(doc_id), np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2"))
         if w is not None:
             yield close()
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = docs.mapInArrow(tokenize, "shard long, doc_id long, wide boolean, ids binary")
-    placed = ids.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "wide", "ids")
-    return placed.mapInArrow(run, "shard long, part long, name string, rows long, tokens long")
+    ids = docs.mapInArrow(tokenize, "slot int, shard long, sub long, doc_id long, wide boolean, ids binary")
+    placed = ids.repartition(n, "slot").sortWithinPartitions("shard", "sub", "doc_id", "wide", "ids")
+    return placed.mapInArrow(run, MANIFEST)
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Every document of the shards: (doc_id, start, n_tokens, ids_crc32). The manifest has a row for each shard."""
     from pyspark.sql import Window
 
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    # Two levels: shards within a thousand, then thousands, so no task numbers all files.
+    block = F.floor(F.col("shard") / 1000)
+    inner = Window.partitionBy(block).orderBy("shard", "sub", "part").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = manifest.groupBy(block.alias("block")).agg(F.sum("tokens").alias("tokens")).select("block", F.coalesce(F.sum("tokens").over(outer), F.lit(0)).alias("ahead"))
+    base = manifest.select(block.alias("block"), "name", F.coalesce(F.sum("tokens").over(inner), F.lit(0)).alias("own")).join(blocks, "block")
+    base = base.select("name", (F.col("ahead") + F.col("own")).alias("base"))
 
     def run(batches):
         for b in batches:
@@ -282,12 +324,13 @@ def token_shards(docs: DataFrame, tokenizer: str, end: int, folder: str | None =
     """Encodes documents, writes shards in ascending doc_id order, and reads them back.
 
     Null text: empty (the end id only). Null doc_id: first. Repeated doc_ids: all are kept, ordered
-    by their ids. An empty table writes no shard and gives no rows. Other columns are not looked at.
+    by their ids within a sub of their shard. An empty table writes no shard and gives no rows. Other columns are not
+    looked at. A shard is closed at SHARD_BYTES, so very long texts and many rows of one identifier make more files.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "op10")
     folder = folder or scratch.mkdirs("shards")
-    schema = T.StructType.fromDDL("shard long, part long, name string, rows long, tokens long")
+    schema = T.StructType.fromDDL(MANIFEST)
     manifest = scratch.save(write(docs.select("doc_id", "text"), folder, tokenizer, end, rows_per_shard), "manifest")
     if not manifest.take(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")

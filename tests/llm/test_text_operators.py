@@ -112,6 +112,25 @@ def test_token_shards(spark, docs, rows, empty):
     assert token_shards.token_shards(empty, WORD, 2).count() == 0
 
 
+def test_one_doc_id_on_many_rows(spark, monkeypatch):
+    """Rows of one identifier (and of none) are split over shards, closed at SHARD_BYTES; order and starts stay whole."""
+    monkeypatch.setattr(token_shards, "SHARD_BYTES", 1 << 12)
+    rows = [(7, f"text number {i} " * (1 + i % 5)) for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, f"other {i}") for i in range(100)] + [(7, "text number 1 " * 2)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = token_shards.token_shards(df, WORD, 2, rows_per_shard=16).toPandas().sort_values("start")
+    plain = library(WORD)
+    want = Counter((-1 if i is None else i, zlib.crc32(np.array(plain.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())) for i, t in rows)
+    assert Counter(zip(out["doc_id"].fillna(-1).astype(int), out["ids_crc32"])) == want
+    assert out["start"].tolist() == np.concatenate(([0], np.cumsum(out["n_tokens"])[:-1])).tolist()
+    assert out["doc_id"].fillna(-1).is_monotonic_increasing and out[out["doc_id"] == 7]["shard"].nunique() > 5 and out[out["doc_id"].isna()]["shard"].nunique() > 5
+
+
+def test_slots_reach_every_partition(spark):
+    for n in (1, 7, 40):
+        df = spark.createDataFrame([(x,) for x in token_shards.slots(spark, n)], "slot int").repartition(n, "slot")
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() == n
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -174,7 +193,7 @@ def test_rule_column_equals_the_model(spark, docs, empty):
     model = quality_model.fit(x[:2000], y[:2000])
     assert 0 < len(model.rules) < 200
     assert ((model.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.97
-    df = spark.createDataFrame([tuple(map(float, r)) for r in x[2000:2100]], ", ".join(f"s_{s} double" for s in quality_model.STATS))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x[2000:2100]], ", ".join(f"{quality_model._S}{s} double" for s in quality_model.STATS))
     assert np.allclose([r[0] for r in df.select(model.column()).collect()], model.score(x[2000:2100]))
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_model.classify(docs, none).where("score > 0.9").count() == docs.count()
@@ -189,6 +208,67 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert kept.columns == docs.columns and 0.8 < kept.count() / docs.count() < 0.95
 
 
+def plain_stats(t):
+    """The statistics from their names, over words and lines of the text."""
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    if not w:
+        return (0.0,) * len(quality_model.STATS)
+    n, size = len(w), lambda x: len(x.encode())
+    ink, c = sum(map(size, w)), Counter(w)
+    threes = Counter(zip(w, w[1:], w[2:]))
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    share = lambda pattern: len(re.findall(pattern, t)) / ink
+    title = sum(x.encode().istitle() for x in w)
+    return (
+        n, ink / n, max(map(size, w)), len(c) / n, max(c.values()) / n, sum(a == b for a, b in zip(w, w[1:])) / n, sum(v for v in threes.values() if v > 1) / n,
+        share("[A-Z]"), share("[0-9]"), share(r"[#*$%&<>@^~_=+\\/{}\[\]]"), share("!"), t.count("|") / n, t.count(".") / n, t.count(",") / n, n / max(1, len(lines)),
+        (len(lines) - len(set(lines))) / max(1, len(lines)), sum(size(x) for x in t if ord(x) > 127) / ink, title / n, sum(v for x, v in c.items() if size(x) <= 3) / n,
+    )
+
+
+def test_text_stats(rows):
+    for t in [t for _, t in rows] + ODD[:1] + ["A!B #x\n#x\n#x |,.\n\n é_é Éa 12"]:
+        if not re.search("[\x1c-\x1f\x85\xa0\u2000-\u3000]", t or ""):
+            assert np.allclose(quality_model.text_stats((t or "").encode()), plain_stats(t)), t
+
+
+def test_trees_find_the_best_cut():
+    """The first split is the one with the most gain, by brute force; rules hold for the rows of their nodes."""
+    rng = np.random.default_rng(12)
+    x = rng.random((400, len(quality_model.STATS))).round(2)
+    y = (x[:, 2] > 0.62).astype(float)
+    rules = quality_model.Trees(depth=1, trees=4).rules(x, y)  # each tree sees two thirds of the statistics
+    assert {r[0][2] for r in rules if r[0][0] == 2} == {True, False}
+    cut = next(r[0][1] for r in rules if r[0][0] == 2)
+    edges = quality_model._edges(x)[2]
+    purity = lambda c: sum(abs(part.mean() - 0.5) * len(part) for part in (y[x[:, 2] <= c], y[x[:, 2] > c]) if len(part))
+    assert purity(cut) == max(map(purity, edges))
+    assert (quality_model.holds(((2, 0.3, True), (2, 0.6, False)), x) == ((x[:, 2] > 0.3) & (x[:, 2] <= 0.6))).all()
+
+
+def test_lasso_meets_its_optimality_conditions():
+    rng = np.random.default_rng(13)
+    m = (rng.random((800, 12)) < 0.4).astype(np.float32)
+    y = (rng.random(800) < 1 / (1 + np.exp(-(2 * m[:, 0] - 2 * m[:, 1])))).astype(float)
+    w, b = quality_model.lasso(m, y, penalty=0.02, rounds=3000)
+    scale = m.std(0) + 1e-6
+    grad = (m / scale).T @ (1 / (1 + np.exp(-(m @ w + b))) - y) / len(y)
+    on = np.abs(w) > 1e-6
+    assert np.allclose(grad[on], -0.02 * np.sign(w[on]), atol=1e-3) and (np.abs(grad[~on]) <= 0.021).all() and on[:2].all() and not on[2:].all()
+
+
+def test_labels_that_tie_repeat_or_clash(spark, docs):
+    """Ties of a document's labels count as 1, repeated label rows as their majority; clashing columns are carried."""
+    own = docs.withColumn("_label_of", F.lit("x")).withColumn("s_n_words", F.lit("y"))
+    labels = spark.createDataFrame([(i, q) for i in range(0, 100) for q in ((0, 1) if i % 2 else (0, 0, 1))] + [(None, 1), (3, None)], "doc_id long, quality int")
+    kept = quality_model.keep_good(own, labels, 0.0)
+    assert kept.columns == own.columns and kept.count() == own.count()
+    one = quality_model.classify(own, labels.where("doc_id % 2 = 1"))
+    assert one.where("score < 0.9").count() == 0 and one.where("doc_id is null and not held_out").count() == 0
+    assert quality_model.keep_good(own, labels.where("doc_id % 2 = 0"), 0.3).count() == 0
+
+
 def plain_counts(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
