@@ -1,9 +1,11 @@
 r"""Personal data: weak supervision over span candidates.
 
 Four kinds have fixed patterns and are always found (`BASE`). Further kinds are candidates: regex,
-gazetteer and context labelers (and checksums) vote on every candidate, expectation-maximisation
-estimates each labeler's reliability per kind from how votes agree, and a logistic span classifier
-is trained on the posteriors. The candidates that it accepts are added.
+gazetteer and context labelers (and checksums) vote on every candidate: the strict form of the kind, known
+beginnings and endings, and words around the span. Expectation-maximisation estimates each labeler's reliability per
+kind from how votes agree, and a logistic span classifier is trained on the posteriors. Beside the votes it sees
+statistics of the span and its surroundings that no labeler votes on (`SHAPES`), kind by kind, so it can overrule
+them. The candidates that it accepts are added.
 
 Only counts of distinct (kind, votes, features) reach the driver: at most
 `len(KINDS) * 3**len(LABELERS) * 2**len(SHAPES)` rows, whatever the size of the corpus.
@@ -27,7 +29,7 @@ BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "mailbox", "secret", "ssn", "tel")
 KINDS = BASE + EXTRA
 LABELERS = ("regex", "gazetteer", "context", "checksum")
-SHAPES = ("long", "digits", "mixed", "bounded")
+SHAPES = ("long", "digits", "mixed", "bounded", "assigned", "parted", "varied")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,7 +46,7 @@ _MORE = {
 }
 _BOX = re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]+(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z0-9-]+)+", re.I)
 
-#: Words before a candidate (fixed values).
+#: Words before or just after a candidate (fixed values).
 _CUES = {
     "email": {"email", "e-mail", "mail", "contact", "correo", "courriel", "kontakt"},
     "mailbox": {"email", "e-mail", "mail", "contact", "write", "reach"},
@@ -58,6 +60,7 @@ _CUES = {
 }
 #: Endings and beginnings that real ones have (fixed values).
 _TAILS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "us", "ch"}
+_BEGINNINGS = ("sk", "pk", "ghp", "xox", "AKIA")
 _COUNTRIES = {"AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE"}
 _WORDS = re.compile(r"[A-Za-z_-]+")
 
@@ -138,15 +141,19 @@ def votes(text: str, k: int, s: int, e: int) -> tuple[int, ...]:
     kind, span = KINDS[k], text[s:e]
     strict = {"email": len(span) <= 100 and ".." not in span, "ip": span.count(".") == 3, "card": len(span) >= 15, "phone": len(span) <= 22}
     regex = 2 if strict.get(kind, True) else 1
-    cue = {w.lower() for w in _WORDS.findall(text[max(0, s - 40) : s])[-4:]}
-    gazetteer = 2 if cue & _CUES[kind] else 0
-    if kind in ("email", "mailbox") and re.split(r"[^A-Za-z]+", span)[-1].lower() in _TAILS:
-        gazetteer = 2
-    if kind == "iban":
+    gazetteer = 0
+    if kind in ("email", "mailbox"):
+        gazetteer = 2 if re.split(r"[^A-Za-z]+", span)[-1].lower() in _TAILS else 1
+    elif kind == "iban":
         gazetteer = 2 if span[:2] in _COUNTRIES else 1
-    before, after = text[s - 1 : s], text[e : e + 1]
-    bounded = not (before.isalnum() or after.isalnum())
-    context = (2 if bounded else 1) if kind not in ("email", "phone") else (2 if not after.isalnum() else 1)
+    elif kind == "secret" and span.startswith(_BEGINNINGS):
+        gazetteer = 2
+    elif kind == "card":
+        gazetteer = 2 if span[0] in "3456" else 1
+    elif kind == "ip":
+        gazetteer = 1 if span.split(".")[0].lstrip("0") in ("", "127", "255") else 2
+    cue = {w.lower() for w in _WORDS.findall(text[max(0, s - 40) : s])[-4:] + _WORDS.findall(text[e : e + 24])[:3]}
+    context = 2 if cue & _CUES[kind] else 1 if any(cue & own for k, own in _CUES.items() if not own & _CUES[kind]) else 0
     checksum = 0
     digits = "".join(c for c in span if "0" <= c <= "9")
     if kind == "card":
@@ -162,7 +169,11 @@ def votes(text: str, k: int, s: int, e: int) -> tuple[int, ...]:
     elif kind == "secret":
         checksum = 2 if len(set(span)) >= 10 else 1
     letters = sum(c.isalpha() for c in span)
-    shape = (len(span) > 24, 2 * len(digits) > len(span), bool(letters and digits), bounded)
+    before, after = text[s - 1 : s], text[e : e + 1]
+    shape = (
+        len(span) > 24, 2 * len(digits) > len(span), bool(letters and digits), not (before.isalnum() or after.isalnum()),
+        text[max(0, s - 2) : s].strip(" \"'")[-1:] in (":", "="), any(c in " -" for c in span), 2 * len(set(span)) > len(span),
+    )
     return (regex, gazetteer, context, checksum, *map(int, shape))
 
 
@@ -181,7 +192,7 @@ def _pattern(v: tuple[int, ...]) -> int:
 
 def _unpattern(n: int) -> tuple[int, ...]:
     out = []
-    for base in (2, 2, 2, 2, 3, 3, 3, 3):
+    for base in (2,) * len(SHAPES) + (3,) * len(LABELERS):
         out.append(n % base)
         n //= base
     return tuple(reversed(out))
@@ -232,11 +243,12 @@ def em(kind: np.ndarray, vote: np.ndarray, n: np.ndarray, rounds: int = 40) -> t
 
 def _features(kind: np.ndarray, bits: np.ndarray) -> np.ndarray:
     one = [np.ones(len(kind)), *[(kind == k).astype(float) for k in range(len(KINDS))]]
-    one += [(bits[:, j] == v).astype(float) for j in range(4) for v in (1, 2)] + [bits[:, 4 + j].astype(float) for j in range(4)]
-    return np.stack(one, 1)
+    one += [(bits[:, j] == v).astype(float) for j in range(len(LABELERS)) for v in (1, 2)]
+    shapes = [bits[:, len(LABELERS) + j].astype(float) for j in range(len(SHAPES))]
+    return np.stack(one + shapes + [(kind == k) * x for k in range(len(KINDS)) for x in shapes], 1)
 
 
-def train(kind: np.ndarray, pattern: np.ndarray, n: np.ndarray, rounds: int = 400) -> dict[tuple[int, int], float]:
+def train(kind: np.ndarray, pattern: np.ndarray, n: np.ndarray, rounds: int = 1000) -> dict[tuple[int, int], float]:
     """Probability of every seen (kind, pattern): logistic regression on the posteriors, weighted by count."""
     if not len(kind):
         return {}
@@ -244,9 +256,10 @@ def train(kind: np.ndarray, pattern: np.ndarray, n: np.ndarray, rounds: int = 40
     soft, _, _ = em(kind, bits[:, :4], n)
     x, weight = _features(kind, bits), np.sqrt(n) / np.sqrt(n).sum()
     w = np.zeros(x.shape[1])
+    step = 4 / max(1.0, float((weight * (x * x).sum(1)).sum()))  # the loss bends no more than a quarter of this
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 4.0 * (x.T @ (weight * (p - soft)) + 1e-4 * w)
+        w -= step * (x.T @ (weight * (p - soft)) + 1e-4 * w)
     p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
     return {(int(k), int(q)): float(v) for k, q, v in zip(kind, pattern, p, strict=True)}
 
@@ -271,13 +284,12 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs with every found span replaced by [KIND]; all other columns as they were.
 
-    Rows are told apart by their place, not by doc_id, so repeated and null identifiers are safe.
+    Rows are told apart by their place, not by doc_id, so repeated and null identifiers are safe. A null text stays
+    null, an empty one empty; very long texts are worked on whole; an empty table has no rows. The corpus is scanned
+    twice: for the counts of vote patterns, and to replace what the trained classifier accepts.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "op1")
     found = candidates(docs)
     rows = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "pattern").collect()
-    scratch.drop()
     p = train(*(np.array([r[c] for r in rows], np.int64) for c in ("kind", "pattern", "n")))
     accepted = {k for k, v in p.items() if v >= threshold}
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])

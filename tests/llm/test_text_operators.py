@@ -174,6 +174,31 @@ def test_pii(spark, empty):
     assert pii.redact(docs).columns == docs.columns and pii.find_pii(empty).count() == 0
 
 
+def test_the_span_classifier_uses_what_no_labeler_votes_on():
+    """One kind, two groups of spans with the same votes: where most of a shape's spans have clear votes, it decides."""
+    k, yes, no = pii.KINDS.index("secret"), (2, 2, 2, 2), (2, 0, 0, 1)
+    shape = {True: (1, 0, 1, 1, 1, 0, 0), False: (0, 1, 0, 0, 0, 0, 1)}
+    unsure = (2, 0, 0, 0)
+    rows = [(yes, True, 900), (unsure, True, 60), (no, False, 900), (unsure, False, 60)]
+    pattern = np.array([pii._pattern((*v, *shape[s])) for v, s, _ in rows])
+    p = pii.train(np.full(4, k), pattern, np.array([n for _, _, n in rows]))
+    got = [p[k, int(x)] for x in pattern]
+    assert got[0] > 0.8 and got[1] > 5 * got[3] and got[2] < 0.3
+    assert all(pii._pattern(pii._unpattern(int(x))) == x for x in pattern)
+
+
+def test_context_and_gazetteer_vote_apart():
+    def vote(text, kind, span):
+        at = text.index(span)
+        return dict(zip(pii.LABELERS, pii.votes(text, pii.KINDS.index(kind), at, at + len(span)), strict=False))
+
+    assert vote("call me: tel 415-555-2671 now", "tel", "415-555-2671")["context"] == 2
+    assert vote("the number 415-555-2671 of things", "tel", "415-555-2671")["context"] == 0
+    assert vote("visa card 415-555-2671", "tel", "415-555-2671")["context"] == 1
+    assert vote("x jo@site.org y", "email", "jo@site.org")["gazetteer"] == 2 and vote("x jo@site.zzq y", "email", "jo@site.zzq")["gazetteer"] == 1
+    assert vote("415-555-2671 is my phone", "tel", "415-555-2671")["context"] == 2
+
+
 def test_em_finds_the_unreliable_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(5000) < 0.6
