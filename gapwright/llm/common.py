@@ -71,10 +71,14 @@ class Scratch:
         """
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         if tidy:
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
+            self.tidy()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def tidy(self) -> None:
+        """Lets Spark's cleaner see that shuffles whose data frames are gone can go."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep(self, *names: str) -> None:
         """Drops every table but these."""
         fs, p = self._fs(self.root)

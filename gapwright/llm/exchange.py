@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import concat_ranges, partitions
 
@@ -36,17 +37,41 @@ def schema_of(names: list[str]) -> str:
 
 def packed(x: np.ndarray) -> bytes:
     """The array's bytes by significance: high bytes of small numbers lie together, where the shuffle's compression takes them."""
+    if not len(x):
+        return b""
     x = np.ascontiguousarray(x)
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes() if x.itemsize > 1 else x.tobytes()
 
 
 def unpacked(b: bytes, kind: str) -> np.ndarray:
+    if kind == CODED:
+        return decoded(b) if b else np.zeros(0, np.uint64)
     t = np.dtype(kind)
-    if t.itemsize == 1:
+    if t.itemsize == 1 or not b:
         return np.frombuffer(b, t)
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(t.itemsize, -1).T).view(t).reshape(-1)
 
 
+def coded(x: np.ndarray) -> bytes:
+    """Bytes as they are; 64-bit values that repeat as their distinct values, in order, and small numbers into these."""
+    if x.itemsize == 1:
+        return x.tobytes()
+    values, place = np.unique(x, return_inverse=True)
+    wide = "<u1" if len(values) <= 1 << 8 else "<u2" if len(values) <= 1 << 16 else "<u4"
+    head = np.array([len(values), np.dtype(wide).itemsize], "<u4").tobytes()
+    return head + packed(values) + packed(place.astype(wide))
+
+
+def decoded(b: bytes) -> np.ndarray:
+    """64-bit values that `coded` wrote."""
+    n, wide = np.frombuffer(b, "<u4", 2).tolist()
+    return unpacked(b[8 : 8 + 8 * n], "<u8")[unpacked(b[8 + 8 * n :], f"<u{wide}")]
+
+
+#: Type name of a column that `ragged` wrote with 64-bit values.
+CODED = "coded"
+
+
 def blobs(bucket: np.ndarray, kind: int, names: list[str], **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each bucket; columns that aren't given stay empty."""
     if not len(bucket):
@@ -66,7 +91,7 @@ def blobs(bucket: np.ndarray, kind: int, names: list[str], **columns: np.ndarray
 
 
 def ragged(bucket: np.ndarray, kind: int, names: list[str], data: str, flat: np.ndarray, begin: np.ndarray, many: np.ndarray, /, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """As blobs, with a column `data` of which entry i has many[i] values from flat[begin[i]] on."""
+    """As blobs, with a column `data` of which entry i has many[i] values from flat[begin[i]] on (see `coded`)."""
     if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
@@ -75,7 +100,7 @@ def ragged(bucket: np.ndarray, kind: int, names: list[str], data: str, flat: np.
     cols = [pa.array(b[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32))]
     for n in names:
         if n == data:
-            cols.append(pa.array([packed(flat[concat_ranges(begin[order[i:j]], many[order[i:j]])]) for i, j in zip(first, ends, strict=True)], pa.binary()))
+            cols.append(pa.array([coded(flat[concat_ranges(begin[order[i:j]], many[order[i:j]])]) for i, j in zip(first, ends, strict=True)], pa.binary()))
         elif n in columns:
             x = np.ascontiguousarray(columns[n][order])
             cols.append(pa.array([packed(x[i:j]) for i, j in zip(first, ends, strict=True)], pa.binary()))
@@ -135,8 +160,8 @@ def gather(df: DataFrame, types: dict[str, str], work: Callable, out: str, send:
         yield from flush()
         yield from pool.flush()
 
-    n = partitions(df.sparkSession)
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, out)
+    n = partitions(df.sparkSession)  # buckets go round the partitions, so each has as many
+    return df.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, out)
 
 
 def by_key(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

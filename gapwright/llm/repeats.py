@@ -240,22 +240,28 @@ class _Run:
         self.found = found
         first = self.docs.groupBy("tid", "check").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"))
         self.classes = self.scratch.save(first.withColumn("node", F.monotonically_increasing_id()), "classes")
-        own = found.join(self.classes, "tid").select("tid", "check", F.col("first").alias("rank"), "node", "anchors")
+        # Both sides grow with the corpus, so neither is to be broadcast, whatever its size here.
+        own = found.hint("merge").join(self.classes, "tid").select("tid", "check", F.col("first").alias("rank"), "node", "anchors")
         # (tid, check, rank) spreads the copies of a text, and only its first document passes: once, though its row be repeated.
         key = ["tid", "check", "rank"]
-        texts = self.docs.select(*key, "text").join(own, key).dropDuplicates(key)
+        texts = self.docs.select(*key, "text").hint("merge").join(own, key).dropDuplicates(key)
         self.texts = self.scratch.save(texts.select("node", "rank", "text", "anchors"), "texts", tidy=True)
 
+    def drop_anchors(self) -> None:
+        self.found = None
+        self.scratch.drop("anchors")
+        self.scratch.tidy()
+
     def marked(self, sent: DataFrame, types: dict[str, str], work) -> DataFrame:
         """Texts with the ranges that work marks: it yields (bucket, 1, {t, a, b})."""
         back = ["t", "a", "b"]
         met = exchange.gather(sent, types, work, exchange.schema_of(back), back)
         found = self.scratch.save(places(met, {"t": "<i8", "a": "<i8", "b": "<i8"}), "places")
-        return self.texts.select("node", "text").join(found, "node")
+        return self.texts.select("node", "text").hint("merge").join(found, "node")
 
     def joined(self, every: DataFrame, result: DataFrame) -> DataFrame:
         """every document with its class and its text's result, if any."""
-        return every.join(self.classes.join(result, "node", "left"), ["tid", "check"])
+        return every.hint("merge").join(self.classes.hint("merge").join(result, "node", "left"), ["tid", "check"])
 
 
 # --- 200-byte strings -------------------------------------------------------------------------------------
@@ -347,6 +353,7 @@ def byte_repeats(docs: DataFrame) -> DataFrame:
     """
     kind, nb, few = Bytes(), exchange.buckets(docs), exchange.coarse(docs)
     run = _Run(docs, kind, "op5", alone=True)
+    run.drop_anchors()
     window, left = kind.window, kind.window - kind.k
     width = left + window
     names = ["t", "g", "place", "size", "at", "data", "a", "b"]
@@ -548,7 +555,7 @@ def word_repeats(docs: DataFrame) -> DataFrame:
     """
     kind, few = Words(), exchange.coarse(docs)
     run = _Run(docs, kind, "op7", alone=False)
-    names = ["code", "size", "r", "t", "a", "at", "words", "b"]
+    names = ["size", "r", "t", "a", "words", "b"]
 
     def prefix_counts(batches):
         for b in batches:
@@ -563,6 +570,8 @@ def word_repeats(docs: DataFrame) -> DataFrame:
     groups = exchange.buckets(docs)
     pairs = {(r["code"] >> 16, r["code"] & 0xFFFF): r["n"] for r in counts.where(F.col("n") * 16 * groups >= sum(first.values())).collect()}
     cuts = prefix_cuts(first, groups, pairs)
+    run.scratch.drop("prefixes")
+    run.drop_anchors()
 
     def marked(t, a, segment, place, beyond):
         s, lo = segment[beyond], a[segment[beyond]] + place[beyond]
@@ -572,7 +581,7 @@ def word_repeats(docs: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            flat, n, code, r, t, a, at = (np.concatenate([x[i] for x in held]) for i in range(7))
+            flat, n, code, r, t, a = (np.concatenate([x[i] for x in held]) for i in range(6))
             begin = np.cumsum(n) - n
             segment, place, beyond, head = subtree(flat, n, r, kind.window)
             mt, ma, mb = marked(t, a, segment, place, beyond)
@@ -587,7 +596,7 @@ def word_repeats(docs: DataFrame) -> DataFrame:
             s, p = segment[i], place[i]
             many = np.diff(np.append(i, len(segment))) + kind.window - 1
             group = np.searchsorted(cuts, code[s], "right")
-            yield from exchange.ragged(group, 0, names, "words", flat, begin[s] + p, many, code=code[s], size=many.astype(np.uint8), r=r[s], t=t[s], a=a[s] + p, at=(at[s] - p).astype(np.uint8))
+            yield from exchange.ragged(group, 0, names, "words", flat, begin[s] + p, many, size=many.astype(np.uint8), r=r[s], t=t[s], a=a[s] + p)
 
         for b in batches:
             col = binary(b.column("text"))
@@ -600,7 +609,7 @@ def word_repeats(docs: DataFrame) -> DataFrame:
                     continue
                 code, rows, place, w0, w1 = (x[hit] for x in (code, rows, place, w0, w1))
                 n = w1 - w0 + kind.window
-                held.append((h[concat_ranges(w0, n)], n, code, rank[lo + rows], ids[lo + rows], w0 - first[rows], place - w0))
+                held.append((h[concat_ranges(w0, n)], n, code, rank[lo + rows], ids[lo + rows], w0 - first[rows]))
                 size += int((w1 - w0 + 1).sum())
                 if size >= FLUSH:
                     yield from flush()
@@ -617,7 +626,7 @@ def word_repeats(docs: DataFrame) -> DataFrame:
         yield _to(t, few), 0, {"t": t, "a": a, "b": b}
 
     sent = run.texts.select("node", "rank", "text", "anchors").mapInArrow(emit, exchange.schema_of(names))
-    types = {"size": "u1", "r": "<i8", "t": "<i8", "a": "<i8", "words": "<u8", "b": "<i8"}
+    types = {"size": "u1", "r": "<i8", "t": "<i8", "a": "<i8", "words": exchange.CODED, "b": "<i8"}
     found = run.marked(sent, types, work)
 
     def finish(batches):

@@ -215,18 +215,6 @@ def bounds(docs: DataFrame, rows_per_shard: int, most: int = 20_000) -> list[int
     return sorted({*found, *(x + 1 for x in hot if x < (1 << 63) - 1)})
 
 
-def slots(spark: SparkSession, n: int) -> list[int]:
-    """For each of n partitions a number that Spark's hash partitioning deals to it."""
-    found: dict[int, int] = {}
-    lo = 0
-    while len(found) < n:
-        size = 8 * n + 64
-        for r in spark.range(lo, lo + size, 1, 1).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).collect():
-            found.setdefault(r["p"], r["id"])
-        lo += size
-    return [found[k] for k in range(n)]
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int, rows_per_shard: int = 4096) -> DataFrame:
     """Writes the shards and returns one row for each: (shard, sub, part, name, rows, tokens).
 
@@ -252,7 +240,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, rows_per_shard
             subs[r["shard"]] = -(-r["n"] // rows_per_shard)
     before = np.cumsum(subs) - subs
     n = int(max(1, min(subs.sum(), 8 * partitions(spark))))
-    slot = np.array(slots(spark, n), np.int32)
 
     def tokenize(batches):
         enc, tail = bpe.encoder(tokenizer), struct.pack("<I", end)
@@ -265,7 +252,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, rows_per_shard
                 own = shard[lo:hi]
                 # equal rows can go to one sub: they differ in nothing that is asked for later
                 sub = np.array([zlib.crc32(x) for _, x in ids], np.int64) % subs[own]
-                cols = [pa.array(slot[(before[own] + sub) % n]), pa.array(own, pa.int64()), pa.array(sub), doc_ids[lo:hi], pa.array([w for w, _ in ids]), pa.array([x for _, x in ids], pa.binary())]
+                cols = [pa.array(((before[own] + sub) % n).astype(np.int32)), pa.array(own, pa.int64()), pa.array(sub), doc_ids[lo:hi], pa.array([w for w, _ in ids]), pa.array([x for _, x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "sub", "doc_id", "wide", "ids"])
 
     def run(batches):
@@ -288,7 +275,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, rows_per_shard
             yield close()
 
     ids = docs.mapInArrow(tokenize, "slot int, shard long, sub long, doc_id long, wide boolean, ids binary")
-    placed = ids.repartition(n, "slot").sortWithinPartitions("shard", "sub", "doc_id", "wide", "ids")
+    placed = ids.repartitionById(n, F.col("slot")).sortWithinPartitions("shard", "sub", "doc_id", "wide", "ids")
     return placed.mapInArrow(run, MANIFEST)
 
 

@@ -399,6 +399,13 @@ def test_exchange_brings_buckets_together(spark):
     assert {r["b"]: (r["s"], r["n"]) for r in rows} == {k: (sum(range(k, 1000, 5)), 200) for k in range(5)}
 
 
+def test_coded_values():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 1), (700, 300), (90_000, 80_000)):
+        x = rng.integers(0, top, n).astype(np.uint64) * np.uint64(1 << 40)
+        assert (exchange.unpacked(exchange.coded(x), exchange.CODED) == x).all()
+
+
 def test_pipeline(spark):
     import public_tokenizers
 
