@@ -611,7 +611,7 @@ def word_repeats(docs: DataFrame) -> DataFrame:
                 n = w1 - w0 + kind.window
                 held.append((h[concat_ranges(w0, n)], n, code, rank[lo + rows], ids[lo + rows], w0 - first[rows]))
                 size += int((w1 - w0 + 1).sum())
-                if size >= FLUSH:
+                if 2 * size >= FLUSH:
                     yield from flush()
                     held, size = [], 0
         if size:
