@@ -1,10 +1,11 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memo of pieces.
 
 A text is cut at places where the tokenizer's own pre-tokenization always cuts, so the
-ids of the pieces, one behind the other, are the ids of the text. Pieces repeat a lot;
-only unseen ones go to the library. Texts that hold a special token's string go there whole, since what
+ids of the pieces, one behind the other, are the ids of the text. Pieces repeat a lot: those of a
+batch of texts are told apart by 64-bit hashes in numpy, each different one is looked up once by its bytes, and only
+unseen ones go to the library. Texts that hold a special token's string go there whole, since what
 the library does with it is part of the ids; so do texts of tokenizers that split in another way than the two
-known here, and odd white space.
+known here.
 """
 
 from __future__ import annotations
@@ -15,13 +16,24 @@ import struct
 
 import numpy as np
 
+from .common import _ODD, _SPACE, concat_ranges, words
+
 #: Entries in each of the two generations of a memo.
 MEMO = 300_000
 _CACHE: dict[str, "Encoder"] = {}
 
-#: A space before one of these byte strings may be inside a run of white space that is one token.
-_AFTER = [b" " + x for x in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")]
 
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for lo, hi in ranges:
+        out[lo : hi + 1] = True
+    return out
+
+
+_ALNUM, _GRAPH = _bytes((48, 57), (65, 90), (97, 122)), _bytes((33, 126))
+#: After a space: what surely is no white space (the lead bytes that are left out begin some).
+_NO_SPACE = _bytes((33, 126), (0x80, 0xC1), (0xC3, 0xE0), (0xE4, 0xFF))
+_POINT = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 
 #: Pre-tokens of the two kinds (fixed by the vocabulary files).
 _SPLIT = {
@@ -98,28 +110,64 @@ class Encoder:
             young[k] = v
         young.update(zip([k for k, _ in rest], self._ids([s for _, s in rest]), strict=True))
 
-    def _pieces(self, raw: bytes) -> list[bytes] | None:
-        if self.kind == "whole":
-            return None
+    def _cut(self, raw: bytes) -> bool:
+        """Can this text be cut? Not if it holds a special token, whose string goes before all splits."""
+        low = raw.lower() if self.added else raw
+        return self.kind != "whole" and not any(x in low for x in self.added)
+
+    def _parts(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each byte: is it a cut (a piece ends before it); is it a piece alone.
+
+        A point after a letter or digit and before another, white space or the end is a pre-token of its own. 'space':
+        so is a line feed between printable characters, and a space before a character goes with that; both stay with the
+        word behind. 'drop': ASCII white space has no ids.
+        """
+        before, after = np.zeros_like(raw), np.zeros_like(raw)
+        before[1:], after[:-1] = raw[:-1], raw[1:]
+        inner = off[(off > 0) & (off < len(raw))]
+        before[inner], after[inner - 1] = 0, 0
+        last = (after == 0) & np.isin(np.arange(len(raw)), off[1:] - 1)
+        alone = _POINT[raw] & _ALNUM[before] & (_ALNUM[after] | (after == 32) | (after == 10) | last)
         if self.kind == "drop":
-            low = raw.lower()
-            return None if any(x in low for x in self.added) else low.split()
-        if raw.endswith(b" ") or any(x in raw for x in _AFTER) or any(x in raw.lower() for x in self.added):
-            return None
-        first, *rest = raw.split(b" ")
-        return ([first] if first else []) + [b" " + x for x in rest]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        parts = [self._pieces(t) for t in texts]
+            return alone | _SPACE[raw], alone
+        return alone | ((raw == 32) & _NO_SPACE[after]) | ((raw == 10) & _GRAPH[before] & _GRAPH[after]), alone
+
+    def _pieces(self, texts: list[bytes]) -> list[bytes]:
+        joined = b"".join(texts)
+        off = np.cumsum([0, *map(len, texts)])
+        raw, keep = np.frombuffer(joined, np.uint8), self.kind == "space"
+        if not len(raw):
+            return [b""] * len(texts)
+        parts, alone = self._parts(raw, off)
+        h, s, e, first = words(raw, off, not keep, parts=parts)
+        if keep:  # a piece has the space or line feed before it, if that is a cut
+            start = np.maximum(s - 1, 0)
+            at = (s > np.repeat(off[:-1], np.diff(first))) & parts[start] & ~alone[start]
+            h, s = np.where(at, h ^ (_ODD + raw[start].astype(np.uint64)), h), s - at
+        one = np.flatnonzero(alone)
+        order = np.argsort(np.concatenate((s, one)), kind="stable")
+        h, s, e = np.concatenate((h, raw[one].astype(np.uint64)))[order], np.concatenate((s, one))[order], np.concatenate((e, one + 1))[order]
+        first = np.searchsorted(s, off)
+        _, some, place = np.unique(h, return_index=True, return_inverse=True)
+        keys = [joined[i:j] if keep else joined[i:j].lower() for i, j in zip(s[some].tolist(), e[some].tolist(), strict=True)]
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
         young = self.young
-        missing = list({k for p in parts if p for k in p if k not in young})
-        self._learn(missing)
-        get = young.__getitem__
-        whole = [i for i, p in enumerate(parts) if p is None]
-        out = [b"".join(map(get, p)) if p else b"" for p in parts]
+        self._learn(list({k for k in keys if k not in young}))
+        ids = [young[k] for k in keys]
+        n = np.array([len(x) // 4 for x in ids], np.int64)
+        flat, each = np.frombuffer(b"".join(ids), "<u4"), n[place]
+        all_ = flat[concat_ranges((np.cumsum(n) - n)[place], each)]
+        cut = np.concatenate(([0], np.cumsum(each)))[first].tolist()
+        return [all_[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        out = [b""] * len(texts)
+        cut = [self._cut(t) for t in texts]
+        own, whole = ([i for i, x in enumerate(cut) if x is y] for y in (True, False))
+        for i, v in zip(own, self._pieces([texts[i] for i in own]) if own else [], strict=True):
+            out[i] = v
         for i, v in zip(whole, self._ids([texts[i].decode("utf-8") for i in whole]), strict=True):
             out[i] = v
         return out
@@ -136,7 +184,7 @@ def encoder(path: str) -> Encoder:
     return _CACHE[path]
 
 
-def batches(texts: list[bytes], size: int = 1 << 20):
+def batches(texts: list[bytes], size: int = 4 << 20):
     """Index ranges of texts of about `size` bytes together."""
     lo = total = 0
     for i, t in enumerate(texts):

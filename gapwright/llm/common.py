@@ -166,19 +166,19 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0][:n], _POW[1][:n]
 
 
-def words(raw: np.ndarray, off: np.ndarray, lower: bool, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, off: np.ndarray, lower: bool, space: np.ndarray = _SPACE, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of rows that lie one behind the other in raw.
 
     Returns (64-bit hash, start byte, end byte) of each word and, for each row, the
     index of its first word (one more entry than rows). Words never cross rows.
-    space: for each byte, does it part words (ASCII white space by default).
+    space: for each byte value, does it part words (ASCII white space by default); parts: the same for each byte of raw.
     """
     n = len(raw)
     if not n:
         e = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), e, e, np.zeros(len(off), np.int64)
     flag = np.zeros(n + 1, np.int8)
-    np.logical_not(space[raw], out=flag[:n].view(bool))
+    np.logical_not(space[raw] if parts is None else parts, out=flag[:n].view(bool))
     step = np.empty(n + 1, np.int8)
     step[0] = flag[0]
     np.subtract(flag[1:], flag[:-1], out=step[1:])

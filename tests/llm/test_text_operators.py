@@ -31,6 +31,8 @@ def test_memo_gives_the_librarys_ids(path, rows):
     rng = random.Random(4)
     some = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "  ", "\n", "a", "It's", "É", "7", "."]
     texts += ["".join(rng.choice(some) for _ in range(rng.randrange(9))) for _ in range(600)]
+    odd = [" ", " ", "\n", "\t", "\r\n", ".", ",", "?", "!", "a", "Be", "é", "7", "'s", "'", '"', "\xa0", "\u2003", "\u2028", "\u200b", "“", "Σ", "\u0301", "-", "\x1c", "\x00", "<|endoftext|>"]
+    texts += ["".join(rng.choice(odd[: 15 if i % 2 else None]) for _ in range(rng.randrange(14))) for i in range(12_000)]
     for _ in range(2):  # from the library, then from the memo
         got = enc.encode([t.encode() for t in texts])
         for t, g in zip(texts, got, strict=True):
