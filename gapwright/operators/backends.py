@@ -90,11 +90,11 @@ def infer(daily: DataFrame, pool: DataFrame, backend: Backend, window: int = 180
 
     The gap's days are masked in the plan, before any model sees them, whatever the backend does.
     """
-    rows = daily.join(pool.select("series_id", "gap_id", "start", "end"), "series_id")
     a, b = F.unix_date("start"), F.unix_date("end")
     hidden = F.col("x").between(a, b)
     half = window // 2
-    rows = rows.where(F.col("x").between(a - half, b + half)).select("gap_id", "x", F.when(~hidden, F.col("y")).alias("y"), hidden.alias("hidden"))
+    near = pool.select("series_id", "gap_id", "start", "end", F.explode(F.sequence(a - half, b + half)).alias("x"))
+    rows = daily.join(near, ["series_id", "x"]).select("gap_id", "x", F.when(~hidden, F.col("y")).alias("y"), hidden.alias("hidden"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")

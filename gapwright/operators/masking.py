@@ -17,8 +17,14 @@ def apply_mask(daily: DataFrame, gap: DataFrame) -> DataFrame:
 
 
 def visible(daily: DataFrame, gap: DataFrame, pre: int | None = None, post: int | None = None) -> DataFrame:
-    """Eligible, known, not hidden rows for each gap; with pre and post, only that near to the gap."""
-    rows = daily.where(F.coalesce("eligible", F.lit(False)) & F.col("value").isNotNull()).join(gap.select("series_id", "gap_id", "start", "end"), "series_id")
+    """Eligible, known, not hidden rows for each gap; with pre and post, only that near to the gap: then the window's
+    days are the join's key."""
+    known = daily.where(F.coalesce("eligible", F.lit(False)) & F.col("value").isNotNull())
+    gap = gap.select("series_id", "gap_id", "start", "end")
+    if pre is not None and post is not None:
+        near = gap.withColumn("date", F.explode(F.sequence(F.date_sub("start", pre), F.date_add("end", post))))
+        return known.join(near.where(~F.col("date").between(F.col("start"), F.col("end"))), ["series_id", "date"]).select(*daily.columns, "gap_id")
+    rows = known.join(gap, "series_id")
     rows = rows.where(~F.col("date").between(F.col("start"), F.col("end")))
     if pre is not None:
         rows = rows.where(F.col("date") >= F.date_sub("start", pre))

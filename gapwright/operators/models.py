@@ -41,15 +41,18 @@ def kalman(y: np.ndarray, sigma_q: float, sigma_r: float) -> tuple[np.ndarray, n
 
 
 def log_likelihood(y: np.ndarray, sigma_q: float, sigma_r: float) -> float:
-    m, p, total = y[0], sigma_r * 10, 0.0
-    for v in y[1:]:
+    """Of a local level that begins at the first known value, with the filter's first variance; every known day counts."""
+    known = y[~np.isnan(y)]
+    m, p, total = (known[0] if len(known) else 0.0), sigma_r * 10, 0.0
+    for v in y:
+        if v == v:
+            s = p + sigma_r**2
+            e = v - m
+            total -= 0.5 * (np.log(2 * np.pi * s) + e * e / s)
+            k = p / s
+            m, p = m + k * e, (1 - k) * p
         p += sigma_q**2
-        s = p + sigma_r**2
-        e = v - m
-        total -= 0.5 * (np.log(2 * np.pi * s) + e * e / s)
-        k = p / s
-        m, p = m + k * e, (1 - k) * p
-    return total
+    return float(total)
 
 
 def nelder_mead(f: Callable, x0: np.ndarray, rounds: int = 500, tol: float = 1e-4) -> np.ndarray:
@@ -83,10 +86,11 @@ def nelder_mead(f: Callable, x0: np.ndarray, rounds: int = 500, tol: float = 1e-
 def fit_kalman(y: np.ndarray) -> tuple[float, float]:
     """(sigma_q, sigma_r) by maximum likelihood on the series without its missing days."""
     y = y[~np.isnan(y)]
-    if len(y) < 3:
-        return 0.1, 1.0
-    r = max(np.std(np.diff(y)) / np.sqrt(2), 1e-8)
-    best = nelder_mead(lambda p: -log_likelihood(y, np.exp(p[0]), np.exp(p[1])), np.log([0.1 * r, r]))
+    r = float(np.std(np.diff(y))) / np.sqrt(2) if len(y) > 2 else 0.3
+    q, r = max(0.1 * r, 1e-5), max(r, 1e-4)
+    if not len(y):
+        return q, r
+    best = nelder_mead(lambda p: -log_likelihood(y, np.exp(p[0]), np.exp(p[1])), np.log([q, r]))
     return float(np.exp(best[0])), float(np.exp(best[1]))
 
 
@@ -102,7 +106,7 @@ def kalman_parameters(daily: DataFrame) -> DataFrame:
 
 def kalman_gaps(daily: DataFrame, pool: DataFrame, parameters: DataFrame) -> DataFrame:
     """Smoothed values of hidden days; each gap sees its whole series but for its own days."""
-    rows = daily.join(pool.select("series_id", "gap_id", "start", "end"), "series_id").join(F.broadcast(parameters), "series_id")
+    rows = daily.join(pool.select("series_id", "gap_id", "start", "end"), "series_id").join(parameters, "series_id")
     a, b = F.unix_date("start"), F.unix_date("end")
     rows = rows.select("series_id", "gap_id", "x", F.when(~F.col("x").between(a, b), F.col("y")).alias("y"), F.col("x").between(a, b).alias("hidden"), "sigma_q", "sigma_r")
 
@@ -155,16 +159,20 @@ def gp_fit(x: np.ndarray, y: np.ndarray, z: np.ndarray, seed: int = 42, restarts
     rng = np.random.default_rng(seed)
     d = x.shape[1]
 
+    # Bounds and first starts of amplitude, length scales (the first one's is wide) and noise.
+    low, high = np.log(np.array([1e-3, *[0.1] * d, 1e-5])), np.log(np.array([10.0, *[1e3] * d, 1.0]))
+    first = np.log(np.array([1.0, 10.0, *[1.0] * (d - 1), 0.1]))
+
     def cost(p):
-        p = np.clip(p, -6, 6)
+        p = np.clip(p, low, high)
         try:
             return -gp_predict(x, y, x[:1], np.exp(p[0]), np.exp(p[1 : 1 + d]), np.exp(p[-1]))[2]
         except np.linalg.LinAlgError:
             return 1e12
 
-    starts = [np.concatenate([[0.0], np.zeros(d), [-2.0]])] + [rng.uniform(-2, 2, d + 2) for _ in range(restarts)]
+    starts = [first] + [rng.uniform(low, high) for _ in range(restarts)]
     best = min((nelder_mead(cost, s + 1e-3, 200) for s in starts), key=cost)
-    best = np.clip(best, -6, 6)
+    best = np.clip(best, low, high)
     try:
         m, s, _ = gp_predict(x, y, z, np.exp(best[0]), np.exp(best[1 : 1 + d]), np.exp(best[-1]))
     except np.linalg.LinAlgError:
@@ -174,10 +182,11 @@ def gp_fit(x: np.ndarray, y: np.ndarray, z: np.ndarray, seed: int = 42, restarts
 
 def gp_gaps(daily: DataFrame, pool: DataFrame, fixed: bool = True, reach: int = 30) -> DataFrame:
     """Hidden days from known ones within reach days. The gap's own days never enter: they are split off first."""
-    rows = daily.join(pool.select("series_id", "gap_id", "gap_length", "start", "end"), "series_id")
     a, b = F.unix_date("start"), F.unix_date("end")
+    near = pool.select("series_id", "gap_id", "gap_length", "start", "end", F.explode(F.sequence(a - reach, b + reach)).alias("x"))
+    rows = daily.join(near, ["series_id", "x"])
     hidden = F.col("x").between(a, b)
-    rows = rows.where(F.col("x").between(a - reach, b + reach)).withColumn("hidden", hidden).withColumn("y", F.when(~hidden, F.col("y")))
+    rows = rows.withColumn("hidden", hidden).withColumn("y", F.when(~hidden, F.col("y")))
     angle = 2 * np.pi * F.dayofyear("date") / 365.25
     half = F.col("gap_length") / 2.0
     rel = F.floor(F.col("x") - (a + half)) / F.greatest(half, F.lit(1.0))
@@ -274,11 +283,49 @@ def _tree(x, y, z, rows, cols, rng, least: int, random_cut: bool, out, weight, k
     _tree(x, y, z, rows[~side], cols[~zs], rng, least, random_cut, out, weight, k)
 
 
-def extra_trees(x, y, z, trees: int = 100, least: int = 1, seed: int = 42):
-    """Random cuts of every column, all rows for each tree."""
+def extra_trees(x, y, z, trees: int = 500, least: int = 1, seed: int = 42, together: int = 20):
+    """Random cuts of every column, all rows for each tree. Trees grow level by level, some together, in numpy."""
     rng, out = np.random.default_rng(seed), np.zeros(len(z))
-    for _ in range(trees):
-        _tree(x, y, z, np.arange(len(y)), np.arange(len(z)), rng, least, True, out, 1 / trees, x.shape[1])
+    for lo in range(0, trees, together):
+        out += _level_trees(x, y, z, min(together, trees - lo), least, rng)
+    return out / trees
+
+
+def _level_trees(x, y, z, c, least, rng):
+    """Sum of c trees' predictions for z. A node is (tree, path); rows lie sorted by node."""
+    n, f = x.shape
+    rows, node = np.tile(np.arange(n), c), np.repeat(np.arange(c), n)
+    cols, at = np.tile(np.arange(len(z)), c), np.repeat(np.arange(c), len(z))
+    out = np.zeros(len(z))
+    while len(rows):
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        size = np.diff(np.append(first, len(rows)))
+        own, t = x[rows], y[rows]
+        total = np.add.reduceat(t, first)
+        same = np.maximum.reduceat(t, first) == np.minimum.reduceat(t, first)
+        lo, hi = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+        cut = lo + (hi - lo) * rng.random(lo.shape)
+        place = np.repeat(np.arange(len(first)), size)
+        left = own <= cut[place]
+        nl = np.add.reduceat(left, first, dtype=np.int64)
+        sl = np.add.reduceat(left * t[:, None], first)
+        nr = size[:, None] - nl
+        ok = (nl >= least) & (nr >= least) & (lo < hi) & ~same[:, None] & (size[:, None] >= 2 * least)
+        gain = np.where(ok, sl**2 / np.maximum(nl, 1) + (total[:, None] - sl) ** 2 / np.maximum(nr, 1), -np.inf)
+        best = gain.argmax(1)
+        split = ok[np.arange(len(first)), best]
+        names = node[first]
+        seat = np.searchsorted(names, at)
+        done = ~split[seat]
+        np.add.at(out, cols[done], (total / size)[seat[done]])
+        cols, seat = cols[~done], seat[~done]
+        edge = cut[np.arange(len(first)), best]
+        at = 2 * (np.cumsum(split) - 1)[seat] + (z[cols, best[seat]] > edge[seat])
+        keep = split[place]
+        rows, place = rows[keep], place[keep]
+        node = 2 * (np.cumsum(split) - 1)[place] + (x[rows, best[place]] > edge[place])
+        order = np.argsort(node, kind="stable")
+        rows, node = rows[order], node[order]
     return out
 
 

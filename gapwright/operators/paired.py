@@ -65,7 +65,7 @@ def replicates(gaps: DataFrame, count: int, seed: str = "42") -> DataFrame:
 
 def bootstrap(days: DataFrame, count: int = 2000, seed: str = "42") -> DataFrame:
     """Mean errors and their difference (a - b), day- and gap-weighted, with 95 % intervals over replicates."""
-    g = per_gap(days)
+    g = per_gap(days).persist()  # read four times, a row for each gap
     day, gap = (F.sum("sa") - F.sum("sb")) / F.sum("n"), F.avg((F.col("sa") - F.col("sb")) / F.col("n"))
     reps = replicates(g, count, seed).groupBy("replicate").agg(day.alias("day"), gap.alias("gap"))
     ci = reps.agg(*[F.expr(f"percentile({c}, {p})").alias(f"{c}_{n}") for c in ("day", "gap") for p, n in ((0.025, "lo"), (0.975, "hi"))])
@@ -104,6 +104,6 @@ def exact_bootstrap(days: DataFrame, count: int = 2000, seed: int = 42) -> DataF
 
 def cluster_interval(values: DataFrame, value: str, count: int = 2000, seed: str = "42") -> DataFrame:
     """Mean of gaps' values with a 95 % interval; no gaps: NULLs."""
-    g = values.select("gap_id", F.col(value).alias("v")).where("v is not null")
+    g = values.select("gap_id", F.col(value).alias("v")).where("v is not null").persist()
     reps = replicates(g, count, seed).groupBy("replicate").agg(F.avg("v").alias("m"))
     return g.agg(F.avg("v").alias("mean")).crossJoin(reps.agg(F.expr("percentile(m, 0.025)").alias("lo"), F.expr("percentile(m, 0.975)").alias("hi")))

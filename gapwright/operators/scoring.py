@@ -38,19 +38,22 @@ def summary(metrics: DataFrame, *by: str) -> DataFrame:
 
 
 def scores(rows: DataFrame, *by: str, counted_before: bool = False) -> DataFrame:
-    """Day-weighted and gap-weighted errors. Two levels of partial aggregation; quantiles need the day rows.
+    """Day-weighted and gap-weighted errors in one aggregate; quantiles need the day rows.
 
     counted_before: gaps and rows are counted before rows without an error are dropped.
     """
-    rows = rows.withColumn("e", error()).withColumn("a", F.abs("e"))
     keys = list(by)
-    known = rows.where(F.col("e").isNotNull())
-    per_gap = known.groupBy(*keys, "gap_id").agg(F.avg("a").alias("m")).groupBy(*keys).agg(F.avg("m").alias("gap_weighted_mae"))
-    counted = (rows if counted_before else known).groupBy(*keys).agg(F.countDistinct("gap_id").alias("n_gaps"), F.count(F.lit(1)).alias("n_days"))
-    days = known.groupBy(*keys).agg(
-        F.avg("a").alias("day_weighted_mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"), F.expr("percentile(a, 0.5)").alias("median_abs"), F.expr("percentile(a, 0.9)").alias("p90_abs")
-    )
-    return counted.join(days, keys, "left").join(per_gap, keys, "left")
+    rows = rows.withColumn("e", error()).withColumn("a", F.abs("e"))
+    rows = rows if counted_before else rows.where(F.col("e").isNotNull())
+    # A gap's rows meet once; its weights then make the gap-weighted error and the number of gaps plain sums.
+    w = Window.partitionBy(*keys, "gap_id")
+    rows = rows.withColumn("known", F.count("e").over(w)).withColumn("all", F.count(F.lit(1)).over(w))
+    out = rows.groupBy(*keys).agg(
+        F.round(F.sum(1 / F.col("all"))).cast("long").alias("n_gaps"), F.count(F.lit(1)).alias("n_days"), F.avg("a").alias("day_weighted_mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"),
+        F.expr("percentile(a, 0.5)").alias("median_abs"), F.expr("percentile(a, 0.9)").alias("p90_abs"),
+        F.try_divide(F.sum(F.try_divide(F.col("a"), F.col("known"))), F.sum(F.when(F.col("e").isNotNull(), 1 / F.col("known")))).alias("gap_weighted_mae"),
+    )
+    return out
 
 
 def by_length(rows: DataFrame) -> DataFrame:
