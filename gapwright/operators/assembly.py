@@ -116,3 +116,13 @@ def demo_score(candidates: DataFrame) -> DataFrame:
         "score",
         F.abs(F.col("length") - 14) * 0.1 + F.when(F.col("is_event"), 0.0).otherwise(1.0) + (1 - F.col("completeness")) * 2 + F.when(F.col("n_context") < 60, 0.5).otherwise(0.0),
     )
+
+
+def demo_candidates(candidates: DataFrame, n: int = 10) -> DataFrame:
+    """The n best demo gaps by score, each with what speaks against it."""
+    said = F.array(
+        F.when(F.col("length") != 14, F.concat(F.lit("length "), F.col("length").cast("string"))), F.when(~F.col("is_event"), F.lit("no event")),
+        F.when(F.col("completeness") < 1, F.lit("covariates missing")), F.when(F.col("n_context") < 60, F.lit("little context")),
+    )
+    reason = F.array_join(F.array_compact(said), "; ")
+    return demo_score(candidates).withColumn("reason", F.when(reason == "", F.lit("nothing")).otherwise(reason)).orderBy("score", "gap_id").limit(n)

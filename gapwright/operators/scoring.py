@@ -93,3 +93,26 @@ def against_frozen(rows: DataFrame, frozen: DataFrame, tolerance: float = 0.02)
     s = scores(rows, "method").select("method", "n_gaps", "gap_weighted_mae").join(frozen, "method", "full")
     gap = F.abs(F.col("gap_weighted_mae") - F.col("frozen_mae"))
     return s.withColumn("status", F.when(gap.isNull(), "unavailable").when(gap <= tolerance, "reproduced").otherwise("mismatched"))
+
+
+#: What bounded runs are good for, as a column of their report (fixed value).
+CAVEAT = "bounded_length_biased_subset_not_comparable_to_frozen_full_406_gap_headline"
+
+
+def bounded_stats(rows: DataFrame) -> DataFrame:
+    """Gaps, days and mean absolute error by arm and context mode, with the caveat on every row."""
+    out = rows.groupBy("arm", "context_mode").agg(F.countDistinct("gap_id").alias("n_gaps"), F.count(F.lit(1)).alias("n_days"), F.avg(F.abs(error())).alias("mae_bounded_subset"))
+    return out.select(F.lit(CAVEAT).alias("caveat"), *out.columns)
+
+
+def pivoted(metrics: DataFrame, row: str, column: str, value: str, values: list) -> DataFrame:
+    """Mean values with a column for each of the named values."""
+    return metrics.groupBy(row).pivot(column, values).agg(F.avg(value))
+
+
+def described(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """count, mean, std, min, quartiles and max of a value by group."""
+    q = lambda p: F.expr(f"percentile({value}, {p})")
+    return rows.groupBy(by).agg(
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(value).alias("max")
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import baselines
 from ..sources import series
+from . import more  # noqa: F401 - registers its queries
 from .queries import ORACLE, QUERIES
 
 

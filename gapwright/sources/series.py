@@ -146,3 +146,25 @@ def demo_window(daily: DataFrame, features: DataFrame, gap: tuple[str, str], rea
     start, end = (F.to_date(F.lit(g)) for g in gap)
     near = daily.where(F.col("date").between(F.date_sub(start, reach), F.date_add(end, reach)))
     return near.join(features.drop("x"), "date", "left").withColumn("in_gap", F.col("date").between(start, end))
+
+
+def read_pool(spark: SparkSession, path: str) -> DataFrame:
+    """A gap pool: identifiers, lengths, dates and roles, other columns as text."""
+    kinds = {"gap_length": "int", "start_date": "date", "end_date": "date", "n_hidden_days": "int", "year": "int"}
+    names = spark.read.csv(path, header=True).columns
+    return read_csv(spark, path, ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names))
+
+
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """A real-gap inventory: dates, lengths and flags, other columns as text."""
+    kinds = {"length_days": "int", "start_date": "date", "end_date": "date", "pre_edge_available": "boolean", "post_edge_available": "boolean"}
+    names = spark.read.csv(path, header=True).columns
+    return read_csv(spark, path, ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names))
+
+
+def classical_inputs(daily: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(target, features) of the classical methods: unique days of each, or an error."""
+    for df, keys in ((daily, ["series_id", "date"]), (features, ["date"])):
+        if df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
+            raise ValueError(f"repeated {keys}")
+    return daily, features
