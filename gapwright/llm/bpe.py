@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import os
-import struct
+from array import array
 
 import numpy as np
 
@@ -80,6 +80,7 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.tokens: dict[str, bytes] = {}
+        self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -87,28 +88,41 @@ class Encoder:
             out += [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.full.encode_batch_fast(texts[lo : lo + 2000], add_special_tokens=False)]
         return out
 
-    def _learn(self, missing: list[bytes]) -> None:
-        young, old, tokens = self.young, self.old, self.tokens
+    def _learn(self, missing: list[bytes]) -> list[bytes]:
+        """Ids of pieces that the young memo lacks, and keeps them."""
+        young, old, tokens, fold = self.young, self.old, self.tokens, self.kind == "drop"
         if len(tokens) > MEMO:
             tokens.clear()
         tokenize, letters, split = self.model.tokenize, self.letters, self.split
-        rest = []
+        out, rest = [], []
         for k in missing:
             v = old.get(k)
             if v is None:
                 s = k.decode("utf-8")
-                if max(s) >= "\u0100":  # other scripts: the library normalises and splits
-                    rest.append((k, s))
-                    continue
-                parts = []
-                for x in split(s.lower() if self.kind == "drop" else s):
-                    t = tokens.get(x)
-                    if t is None:
-                        t = tokens[x] = pack([y.id for y in tokenize(x.encode().decode("latin-1").translate(letters))])
-                    parts.append(t)
-                v = b"".join(parts)
+                if fold:
+                    s = s.lower()
+                head = b""
+                if s[0] == "\n" and "!" <= s[1:2] <= "~":  # a pre-token of its own
+                    head, s = self.line, s[1:]
+                word = s[1:] if s[:1] == " " else s
+                if word.isalpha() and (word.isascii() or max(word) < "\u0100"):  # one pre-token
+                    x = s.replace(" ", "\u0120") if word.isascii() else s.encode().decode("latin-1").translate(letters)
+                    v = head + array("I", [y.id for y in tokenize(x)]).tobytes()
+                elif max(s, default="") >= "\u0100":  # other scripts: the library normalises and splits
+                    rest.append((len(out), k))
+                else:
+                    parts = [head]
+                    for x in split(s):
+                        t = tokens.get(x)
+                        if t is None:
+                            t = tokens[x] = array("I", [y.id for y in tokenize(x.encode().decode("latin-1").translate(letters))]).tobytes()
+                        parts.append(t)
+                    v = b"".join(parts)
             young[k] = v
-        young.update(zip([k for k, _ in rest], self._ids([s for _, s in rest]), strict=True))
+            out.append(v)
+        for (i, k), v in zip(rest, self._ids([k.decode("utf-8") for _, k in rest]), strict=True):
+            young[k] = out[i] = v
+        return out
 
     def _cut(self, raw: bytes) -> bool:
         """Can this text be cut? Not if it holds a special token, whose string goes before all splits."""
@@ -152,10 +166,11 @@ class Encoder:
         keys = [joined[i:j] if keep else joined[i:j].lower() for i, j in zip(s[some].tolist(), e[some].tolist(), strict=True)]
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
-        young = self.young
-        self._learn(list({k for k in keys if k not in young}))
-        ids = [young[k] for k in keys]
-        n = np.array([len(x) // 4 for x in ids], np.int64)
+        ids = list(map(self.young.get, keys))
+        unseen = [i for i, v in enumerate(ids) if v is None]
+        for i, v in zip(unseen, self._learn([keys[i] for i in unseen]), strict=True):
+            ids[i] = v
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, each = np.frombuffer(b"".join(ids), "<u4"), n[place]
         all_ = flat[concat_ranges((np.cumsum(n) - n)[place], each)]
         cut = np.concatenate(([0], np.cumsum(each)))[first].tolist()
@@ -173,10 +188,6 @@ class Encoder:
         return out
 
 
-def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker process."""
     if path not in _CACHE:
