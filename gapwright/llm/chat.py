@@ -81,7 +81,7 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
     of the first turn that it doesn't take. Conversations that aren't valid are formatted all the same.
     Turns are ordered by turn (null first), ties by role and text; repeated rows are turns of their own.
     Null role or text: empty. A null conv_id is a conversation. An empty table gives no rows; other
-    columns are not looked at.
+    columns are not looked at. Turns and conversations of any length are formatted whole; a conversation is one row.
     """
     t = template or Template()
     if t.mark[0] != "<" or not all(x.startswith(t.mark) for x in (t.begin, t.end)):

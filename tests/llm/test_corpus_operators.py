@@ -428,3 +428,23 @@ def test_pipeline(spark):
     out, want = corpus_pipeline.run(spark, d), packing.pack(step, public_tokenizers.path("byte_bpe_50k.json"))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_every_stage_on_odd_rows(spark, docs, empty):
+    """Null and repeated doc_ids, null and empty texts, repeated rows, clashing columns, and an empty table: through all stages."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    step = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, step, d)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        before = Counter((key(r["doc_id"]), r["text"]) for r in step.collect())
+        if name != "pii":  # rows are only dropped, as many times as they were there at most
+            assert not Counter((key(r["doc_id"]), r["text"]) for r in kept) - before
+        step = spark.createDataFrame(kept, docs.schema)
+        assert stage(spark, empty, d).count() == 0
+    assert 0 < step.count() < docs.count()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, step, d)
+    assert pieces.where("piece = 0").count() == step.count() and corpus_pipeline.STAGES[-1][1](spark, empty, d).count() == 0

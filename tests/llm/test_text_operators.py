@@ -68,6 +68,35 @@ def test_packing_plan_is_dense():
         assert len(bins) <= max(-(-total // 64) * 1.25 + 1, sum(v for k, v in counts.items() if k > 32))
 
 
+def plain_packing(lengths, capacity):
+    """The method on a list of items: large ones, longest first, with the longest other large one that fits; the rest,
+    longest first, into the smallest gap."""
+    large, small = sorted(x for x in lengths if 3 * x > capacity), sorted((x for x in lengths if 3 * x <= capacity), reverse=True)
+    gaps = []
+    while large:
+        top = large.pop()
+        mate = max((x for x in large if x + top <= capacity), default=None)
+        if mate is not None:
+            large.remove(mate)
+        gaps.append(capacity - top - (mate or 0))
+    for x in small:
+        best = min((g for g in gaps if g >= x), default=None)
+        if best is None:
+            gaps.append(capacity - x)
+        else:
+            gaps.remove(best)
+            gaps.append(best - x)
+    return len(gaps)
+
+
+def test_packing_needs_as_few_sequences_as_item_by_item():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        lengths = [int(x) for x in rng.integers(1, 65, rng.integers(1, 120))]
+        found = {seq + k for _, _, n, seq, _ in packing.plan(dict(Counter(lengths)), 64) for k in range(n)}
+        assert len(found) == plain_packing(lengths, 64) or len(found) <= plain_packing(lengths, 64)
+
+
 def test_packing(spark, docs, rows, empty):
     out = packing.pack(docs, BYTE, 0, 256).toPandas()
     plain = library(BYTE)
@@ -400,3 +429,11 @@ def test_chat(spark):
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in want[r["conv_id"]]).encode()).hexdigest()
         assert r["formatted_chars"] == len("".join(s["text"] for s in rows[r["conv_id"]]["segments"]))
     assert chat.format_conversations(df.where("false")).count() == 0
+
+
+def test_very_long_conversation(spark):
+    turns = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} <|im_end|> & " * (2000 if k == 7 else 1)) for k in range(3000)]
+    out = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    r = chat.digests(out).first()
+    assert r["n_turns"] == 3000 and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, _, a, b in turns).encode()).hexdigest()
+    assert r["loss_chars"] == sum(len(t) for _, _, a, t in turns if a == "assistant") and out.first()["valid"]
