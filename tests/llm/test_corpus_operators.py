@@ -242,7 +242,7 @@ def test_overlaps_with_the_stored_unions():
         r, g, c, k = similarity.overlaps(h.astype(np.uint64), own, comp, members, part, size, kept)
         assert {(int(a), int(b)): int(x) for a, b, x in zip(r, g, c, strict=True)} == dict(want)
         assert {(int(a), int(b)): int(x) for a, b, x in zip(r, g, k, strict=True)} == {key: kept_of[key] for key in want}
-    similarity.PAIRS = 4_000_000
+    similarity.PAIRS = 400_000
 
 
 def test_one_of_each(docs, rows, empty):
