@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import assembly, baselines, covariates, intervals, models, paired, pools, registries, scoring
+from ..operators import assembly, baselines, covariates, dispatch, intervals, models, paired, pools, registries, scoring
 from ..sources import series
 from .queries import _both, _LABELS, _METRICS, _round, _scored, query
 from .sql import DAY, EDGES, POOL, PREDICTED, RUNS, S1, S2, r6
@@ -370,3 +370,19 @@ def ml15_hidden_truth(spark, d):
     b = models.kalman_gaps(fixed, one, p).select("gap_id", "x", F.col("prediction").alias("pb"))
     rows = a.join(b, ["gap_id", "x"], "left")
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("pb").isNotNull() & (F.col("pa") != F.col("pb"))).alias("n_changed"))
+
+
+@query(f"""WITH {EDGES} SELECT 'canonical_interpolation' AS method_id, count(*) AS n_rows, count(DISTINCT h.gap_id) AS n_gaps, {r6('avg(log10(v0) + (h.x - x0)::DOUBLE / (x1 - x0) * (log10(v1) - log10(v0)))', 'mean')} FROM hidden h JOIN edge USING (gap_id)
+UNION ALL SELECT 'external_only_extratrees', count(*), count(DISTINCT gap_id), NULL FROM hidden WHERE gap_length = 14""")
+def ml20_method_dispatch(spark, d):
+    """Two methods by identifier: interpolation over the pool with its values, trees over its longest gaps with their support."""
+    daily, pool = _both(spark, d)
+    features = series.feature_series(spark, d)
+    runs = (("canonical_interpolation", pool, {}), ("external_only_extratrees", pool.where("gap_length = 14"), {"trees": 20}))
+    out = None
+    for method, own, options in runs:
+        rows = dispatch.predict(method, daily, features, own, **options)
+        mean = S.rounded(F.avg("prediction")) if method == "canonical_interpolation" else F.lit(None).cast("double")
+        one = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("gap_id").alias("n_gaps"), mean.alias("mean")).select(F.lit(method).alias("method_id"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gapwright.operators import intervals, models, pools, registries
+from gapwright.operators import dispatch, intervals, models, pools, registries
 from gapwright.sources import series
 
 
@@ -132,3 +132,17 @@ def test_extra_trees():
     assert np.allclose(models.extra_trees(x, np.full(300, 2.5), z, trees=3), 2.5)
     assert (models.extra_trees(x, y, z, trees=60) == p).all() and p.min() >= y.min() and p.max() <= y.max()
     assert np.allclose(models.extra_trees(x[:1], y[:1], z, trees=2), y[0])
+
+
+def test_method_dispatch(daily):
+    features = daily.select("date", "x", (F.col("x") % 7).cast("double").alias("week"), (F.col("value") * 0 + 1).alias("one"))
+    pool = intervals.block_sample(intervals.candidate_starts(intervals.eligible_runs(daily), [1, 7])).orderBy("start").limit(12).cache()
+    days = pool.agg(F.sum("gap_length")).first()[0]
+    for method in [m.method_id for m in registries.METHODS if m.role == "classical_benchmark"]:
+        options = {"trees": 5} if "extratrees" in method or method == "tier_ch_deployed" else {"rounds": 5} if method.endswith("hgb") else {}
+        if method == "engineered_hybrid":
+            options = {"trees": 5}
+        rows = dispatch.predict(method, daily, features, pool, **options).toPandas()
+        assert len(rows) == days and rows["gap_id"].nunique() == 12, method
+    with pytest.raises(ValueError):
+        dispatch.predict("other", daily, features, pool)
