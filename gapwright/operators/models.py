@@ -388,6 +388,67 @@ def external_rows(daily: DataFrame, features: DataFrame, pool: DataFrame) -> tup
     return test, train.where(~F.col("date").between(F.col("start"), F.col("end"))).drop("start", "end")
 
 
+def ridge_outside(daily: DataFrame, features: DataFrame, pool: DataFrame, columns: list[str], alpha: float = 1.0, least: int = 10) -> DataFrame:
+    """Ridge on a day's features for every gap, trained by all eligible days outside it: as leave_one_gap_out() on
+    external_rows() with "ridge", but from moments.
+
+    The series' sums of products less the gap's own are the moments of a gap's training days, so no day is repeated for a
+    gap; sums are of values centred on the series' means. Missing features count as their mean. Too few days: NULL.
+    """
+    k = len(columns)
+    days = daily.join(features.drop("x"), "date")
+    train = days.where(F.col("eligible") & F.col("y").isNotNull())
+    mid = train.groupBy("series_id").agg(F.avg("y").alias("cy"), *[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"c{i}") for i, c in enumerate(columns)])
+    own = [(F.nanvl(F.col(c).cast("double"), F.lit(None)) - F.coalesce(f"c{i}", F.lit(0.0))).alias(f"v{i}") for i, c in enumerate(columns)]
+    centred = lambda rows, *more: rows.join(mid, "series_id").select("series_id", "x", *more, (F.col("y") - F.col("cy")).alias("vy"), "cy", *own, *[f"c{i}" for i in range(k)])
+
+    def moments() -> F.Column:
+        y, v = F.col("vy"), [F.col(f"v{i}") for i in range(k)]
+        sums = [F.lit(1.0), y]
+        for i in range(k):
+            known = v[i].isNotNull().cast("double")
+            sums += [known, v[i], known * y, v[i] * y]
+        for i in range(k):
+            for j in range(i, k):
+                both = (v[i].isNotNull() & v[j].isNotNull()).cast("double")
+                sums += [both, both * v[i], both * v[j], v[i] * v[j]]
+        return F.array(*[F.coalesce(F.sum(s), F.lit(0.0)) for s in sums])
+
+    a, b = F.unix_date("start"), F.unix_date("end")
+    hidden = pool.select("series_id", "gap_id", F.explode(F.sequence(a, b)).alias("x"))
+    whole = centred(train).groupBy("series_id").agg(moments().alias("whole"))
+    part = centred(train).join(hidden, ["series_id", "x"]).groupBy("gap_id").agg(moments().alias("part"))
+
+    @F.pandas_udf("weights array<double>, means array<double>, level double")
+    def solve(all_days: pd.Series) -> pd.DataFrame:
+        out = []
+        for m in all_days:
+            n, sy = m[0], m[1]
+            if n < max(least, 1):
+                out.append((None, None, None))
+                continue
+            level = sy / n
+            one = np.reshape(m[2 : 2 + 4 * k], (k, 4))
+            mean = np.where(one[:, 0] > 0, one[:, 1] / np.maximum(one[:, 0], 1), 0.0)
+            with_y = one[:, 3] - mean * one[:, 2] - level * one[:, 1] + level * mean * one[:, 0]
+            two, at = np.zeros((k, k)), 2 + 4 * k
+            for i in range(k):
+                for j in range(i, k):
+                    c, u, v, q = m[at : at + 4]
+                    two[i, j] = two[j, i] = q - mean[i] * v - mean[j] * u + mean[i] * mean[j] * c
+                    at += 4
+            out.append((np.linalg.solve(two + alpha * np.eye(k), with_y).tolist(), mean.tolist(), level))
+        return pd.DataFrame(out, columns=["weights", "means", "level"])
+
+    left = F.when(F.col("part").isNull(), F.col("whole")).otherwise(F.zip_with("whole", "part", lambda p, q: p - q))
+    fits = pool.select("series_id", "gap_id").join(whole, "series_id").join(part, "gap_id", "left").select("gap_id", solve(left).alias("fit"))
+    test = centred(days).join(hidden, ["series_id", "x"]).join(fits, "gap_id")
+    value = F.col("fit.level") + F.col("cy")
+    for i in range(k):
+        value = value + F.col("fit.weights")[i] * F.coalesce(F.col(f"v{i}") - F.col("fit.means")[i], F.lit(0.0))
+    return test.select("series_id", "gap_id", "x", value.alias("prediction"), F.lit(None).cast("double").alias("spread"))
+
+
 def hybrid(routed: DataFrame, predictions: dict[str, DataFrame]) -> DataFrame:
     """Each gap's predictions by the method it is routed to: (gap_id, x, prediction, method)."""
     out = None

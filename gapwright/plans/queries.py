@@ -573,12 +573,15 @@ def ml3_gap_edge_models(spark, d):
     return models.leave_one_gap_out(test, train, edges.predictors(), "residual_log", "extra_trees", anchor="anchor_log", trees=TREES, least=30)
 
 
-@query()
+@query(f"""WITH {POOL}, {S2}, tr AS (SELECT x, f_count::DOUBLE AS a, f_mean AS b, v AS y FROM s1 JOIN s2 USING (date) WHERE e AND v IS NOT NULL),
+fit AS (SELECT gap_id, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) + 1 AS saa, var_pop(b) * count(*) + 1 AS sbb, covar_pop(a, b) * count(*) AS sab,
+  covar_pop(a, y) * count(*) AS say, covar_pop(b, y) * count(*) AS sby FROM pool JOIN tr ON tr.x NOT BETWEEN a0 AND a1 GROUP BY 1)
+SELECT gap_id, h.x, floor((CASE WHEN fit.n >= 10 THEN my + (f_count - ma) * (say * sbb - sby * sab) / (saa * sbb - sab * sab) + (f_mean - mb) * (sby * saa - say * sab) / (saa * sbb - sab * sab) END) * 1e3 + 0.5003) / 1e3 AS prediction
+FROM hidden h JOIN s1 USING (x) JOIN s2 USING (date) JOIN fit USING (gap_id)""")
 def ml9_external_models(spark, d):
     daily, pool = _both(spark, d)
-    test, train = models.external_rows(daily.withColumn("y", F.col("value")), series.feature_series(spark, d), pool)
-    f = ["f_count", "f_mean"]
-    return models.leave_one_gap_out(test.select("series_id", "gap_id", "x", *f, "y"), train.select("held_out", "x", *f, "y"), f, "y", "ridge", least=10)
+    out = models.ridge_outside(daily.withColumn("y", F.col("value")), series.feature_series(spark, d), pool, ["f_count", "f_mean"])
+    return _round_to(out.select("gap_id", "x", "prediction"), 3, "prediction")
 
 
 @query()
@@ -806,6 +809,7 @@ ck AS (SELECT method, gap_length, metric, CASE WHEN fv IS NULL THEN 'unavailable
 def _verified(spark, d):
     """Our scores beside frozen ones that were cut to one decimal, and lack a length; how far they agree isn't known beforehand."""
     s = scoring.by_length(_scored(spark, d)).select("method", "gap_length", F.col("day_weighted_mae").alias("mae"), "bias")
+    s = _round(s, "mae", "bias")  # both sides come from runs of their own, whose sums may differ in the last digit
     cut = lambda c: F.when(F.col("method") == "climatology", F.col(c)).otherwise(F.floor(F.col(c) * 10) / 10)
     frozen = s.where("gap_length < 14").withColumns({"mae": cut("mae"), "bias": cut("bias")})
     return assembly.verify(s, frozen, ["method", "gap_length"], ["mae", "bias"], {"linear": 0.06}, 0.03)
@@ -831,10 +835,18 @@ def vf3_repeatability(spark, d):
     return _round_to(assembly.repeatability(a.drop("x"), b.drop("x")), 9, "max_difference")
 
 
-@query()
+@query(f"""WITH {POOL}, kn AS (SELECT x, log10(v)::FLOAT::DOUBLE AS y FROM known WHERE v > 1e-4), lim AS (SELECT min(x) AS lo, max(x) AS hi FROM s1),
+win AS (SELECT gap_id, a0, a1, greatest(a0 - 90, lo) AS w0, least(a1 + 90, hi) AS w1 FROM pool, lim),
+pre AS (SELECT gap_id, max(x) AS px FROM win JOIN kn ON kn.x BETWEEN w0 AND a0 - 1 GROUP BY 1), post AS (SELECT gap_id, min(x) AS qx FROM win JOIN kn ON kn.x BETWEEN a1 + 1 AND w1 GROUP BY 1),
+val AS (SELECT h.gap_id, h.x, w1 - w0 + 1 AS n_context, CASE WHEN px IS NULL THEN b.y WHEN qx IS NULL THEN a.y ELSE a.y + (h.x - px) * (b.y - a.y) / (qx - px) END AS p,
+  0.05 * sqrt(CASE WHEN px IS NULL THEN qx - h.x WHEN qx IS NULL THEN h.x - px ELSE least(h.x - px, qx - h.x) END) AS w
+  FROM hidden h JOIN win USING (gap_id) LEFT JOIN pre USING (gap_id) LEFT JOIN post USING (gap_id) LEFT JOIN kn a ON a.x = px LEFT JOIN kn b ON b.x = qx)
+SELECT gap_id, x, n_context, p IS NULL AS failed, floor(p * 1e5 + 0.5003) / 1e5 AS prediction, floor((p - 1.645 * w) * 1e5 + 0.5003) / 1e5 AS q05, floor((p + 1.645 * w) * 1e5 + 0.5003) / 1e5 AS q95 FROM val""")
 def fm5_sequence_inference(spark, d):
     daily, pool = _both(spark, d)
-    return backends.infer(series.model_series(daily), pool, backends.Stand())
+    out = backends.infer(series.model_series(daily), pool, backends.Stand())
+    out = out.select("gap_id", "x", "n_context", F.col("error").isNotNull().alias("failed"), "prediction", F.get("quantiles", F.lit(0)).alias("q05"), F.get("quantiles", F.lit(6)).alias("q95"))
+    return _round_to(out, 5, "prediction", "q05", "q95")
 
 
 # --- more aggregates and set operations -------------------------------------------------------------------

@@ -198,6 +198,61 @@ def test_backends(daily, pool):
         backends.covariate_batch(np.zeros(3))
     assert backends.covariate_batch(np.zeros((3, 2))).shape == (1, 3, 2)
 
+    class Covered(backends.Stand):
+        def impute(self, s, c):
+            assert c.dtype == np.float32 and c.shape == (1, len(s), 2) and np.isnan(c[0, :, 1]).all()
+            return super().impute(np.where(np.isnan(s), c[0, :, 0], s), None)
+
+    both = y.withColumn("f", F.col("x") * 1.0).withColumn("none", F.lit(None).cast("double"))
+    out = backends.infer(both, pool, Covered(), covariates=("f", "none")).collect()
+    assert len(out) == 17 and all(r["error"] is None and r["prediction"] == r["x"] for r in out)
+    for bad in ({"covariates": ("lost",)}, {"mode": "nearby"}):
+        with pytest.raises(backends.InputError):
+            backends.infer(both, pool, Covered(), **bad)
+
+
+def test_contexts(daily, pool):
+    y = series.model_series(daily, log=False)
+    lo, hi = y.agg(F.min("x"), F.max("x")).first()
+    for mode, window, most in (("full_series", 0, 10**6), ("full_series", 0, 20), ("local_window", 10, 10**6), ("edge_balanced", 40, 21)):
+        for r in backends.context_days(y, pool, mode, window, most).collect():
+            w = (lo, hi) if mode == "full_series" else (max(lo, r["a"] - window // 2), min(hi, r["b"] + window // 2))
+            assert w[0] <= r["lo"] <= r["a"] and r["b"] <= r["hi"] <= w[1] and r["hi"] - r["lo"] + 1 == min(most, w[1] - w[0] + 1)
+    assert {r["n_context"] for r in backends.infer(y, pool, backends.Stand(max_context=20), mode="full_series").collect()} == {20}
+
+
+def test_provenance(tmp_path):
+    weights = tmp_path / "weights.bin"
+    weights.write_bytes(b"abc")
+    stand = backends.Stand()
+    stand.version, stand.revision, stand.weights = "1.2", "r7", str(weights)
+    digest = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    pin = backends.Pin("1.2", "r7", digest, 4096)
+    facts = backends.provenance(stand, pin)
+    assert facts["sha256"] == digest and str(tmp_path) not in repr(facts) and backends.require(lambda: stand, pin) is stand
+    for wrong in (backends.Pin(version="1.3"), backends.Pin(revision="r8"), backends.Pin(sha256="0" * 64), backends.Pin(max_context=1)):
+        with pytest.raises(backends.ProvenanceError):
+            backends.require(lambda: stand, wrong)
+    stand.weights = str(tmp_path / "lost")
+    with pytest.raises(backends.ProvenanceError):
+        backends.provenance(stand, backends.Pin())
+    stand.max_context = None
+    with pytest.raises(backends.ProvenanceError):
+        backends.provenance(stand, backends.Pin())
+
+
+def test_ridge_from_moments(spark, daily, pool):
+    y = daily.withColumn("y", F.col("value"))
+    f = daily.select("date", "x", (F.col("x") % 7).alias("f1"), F.when(F.col("x") % 5 > 0, F.col("x") % 11 + 1e6).alias("f2"), F.lit(None).cast("double").alias("f3"))
+    names = ["f1", "f2", "f3"]
+    test, train = models.external_rows(y, f, pool)
+    want = models.leave_one_gap_out(test.select("series_id", "gap_id", "x", *names, "y"), train.select("held_out", "x", *names, "y"), names, "y", "ridge", least=10)
+    key = lambda df: {(r["gap_id"], r["x"]): r["prediction"] for r in df.collect()}
+    a, b = key(models.ridge_outside(y, f, pool, names)), key(want)
+    assert a.keys() == b.keys() and len(a) == 17 and all(abs(a[k] - b[k]) < 1e-7 for k in a)
+    assert models.ridge_outside(y, f, pool, names, least=10**6).where("prediction is not null").count() == 0
+    assert models.ridge_outside(y.limit(0), f, pool, names).count() == 0 and models.ridge_outside(y, f, pool.limit(0), names).count() == 0
+
 
 def test_runs_and_manifests(spark, tmp_path):
     ok = spark.createDataFrame([("k1", 1, ["d"], [1.0]), ("k1", 2, ["d"], [2.0]), ("k2", 1, ["d"], [None]), ("k4", 1, ["d"], [float("nan")])], "key string, seq int, date array<string>, pred_log10 array<double>")
