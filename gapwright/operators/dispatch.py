@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from . import baselines, edges, masking, models
 
-_LEARNERS = {"extratrees": "extra_trees", "hgb": "boosted"}
+_LEARNERS = {"extratrees": "extra_trees", "hgb": "hist_boosted"}
 
 
 def _logs(daily: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ gap's context or training rows, which calendars and pools bound.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -348,7 +349,96 @@ def boosted(x, y, z, rounds: int = 100, rate: float = 0.1, least: int = 10, seed
     return score[len(y) :]
 
 
-LEARNERS: dict[str, Callable] = {"ridge": ridge, "elastic_net": elastic_net, "extra_trees": extra_trees, "random_forest": random_forest, "boosted": boosted}
+def _coded(m: np.ndarray, cuts: list[np.ndarray], missing: int) -> np.ndarray:
+    return np.stack([np.where(np.isnan(m[:, j]), missing, np.searchsorted(c, m[:, j])) for j, c in enumerate(cuts)], axis=1)
+
+
+def _cuts(v: np.ndarray, bins: int) -> np.ndarray:
+    """Midpoints of a column's distinct values, or of its quantiles where there are more than bins."""
+    v = np.unique(v[~np.isnan(v)])
+    if len(v) > bins:
+        return np.unique(np.quantile(v, np.linspace(0, 1, bins + 1)[1:-1]))
+    return (v[1:] + v[:-1]) / 2
+
+
+def _best_split(codes, rest, width: int, least: int, l2: float):
+    """(gain, column, last code to the left, do missing values go left) of one node, or None."""
+    n, f = codes.shape
+    if n < 2 * least:
+        return None
+    at = (codes + np.arange(f) * width).ravel()
+    count = np.bincount(at, minlength=f * width).reshape(f, width)
+    total = np.bincount(at, np.repeat(rest, f), f * width).reshape(f, width)
+    whole, best = rest.sum(), None
+    left, part = np.cumsum(count[:, :-1], axis=1), np.cumsum(total[:, :-1], axis=1)
+    for lost_left in (False, True) if count[:, -1].any() else (False,):
+        nl, sl = (left + count[:, -1:], part + total[:, -1:]) if lost_left else (left, part)
+        nr = n - nl
+        ok = (nl >= least) & (nr >= least)
+        gain = np.where(ok, sl**2 / np.maximum(nl + l2, 1) + (whole - sl) ** 2 / np.maximum(nr + l2, 1), -np.inf)
+        j, k = np.unravel_index(gain.argmax(), gain.shape)
+        if ok[j, k] and (best is None or gain[j, k] > best[0]):
+            best = gain[j, k], j, k, lost_left if count[j, -1] else bool(nl[j, k] >= nr[j, k])
+    if best is None or (gain := best[0] - whole**2 / (n + l2)) <= 0:
+        return None
+    return gain, *best[1:]
+
+
+def _best_first(codes, rest, others, width: int, leaves: int, least: int, l2: float):
+    """One tree's values for the rows it is grown on and for others: the leaf that gains most is divided next."""
+    near, far = np.zeros(len(codes)), np.zeros(len(others))
+    queue, done, order = [], [], 0
+
+    def put(rows, cols):
+        nonlocal order
+        order += 1
+        split = _best_split(codes[rows], rest[rows], width, least, l2)
+        if split is None:
+            done.append((rows, cols))
+        else:
+            heapq.heappush(queue, (-split[0], order, rows, cols, split))
+
+    put(np.arange(len(codes)), np.arange(len(others)))
+    while queue and len(queue) + len(done) < leaves:
+        _, _, rows, cols, (_, j, k, lost_left) = heapq.heappop(queue)
+        a, b = ((m[i, j] <= k) | (lost_left & (m[i, j] == width - 1)) for m, i in ((codes, rows), (others, cols)))
+        put(rows[a], cols[b])
+        put(rows[~a], cols[~b])
+    for rows, cols in [*done, *(q[2:4] for q in queue)]:
+        near[rows] = far[cols] = rest[rows].sum() / (len(rows) + l2)
+    return near, far
+
+
+def hist_boosted(x, y, z, rounds: int = 1000, rate: float = 0.05, leaves: int = 31, least: int = 20, l2: float = 0.0, share: float = 0.1, patience: int = 20, seed: int = 42, bins: int = 255):
+    """Boosted best-first trees on binned columns (squared error). Missing values are a bin that goes to the better side.
+
+    A share of the rows, drawn by seed, is held back: when none of the last `patience` rounds lowers its error, no more
+    follow. A share of 0 runs all rounds.
+    """
+    held = np.zeros(len(y), bool)
+    held[np.random.default_rng(seed).permutation(len(y))[: int(np.ceil(share * len(y)))]] = share > 0
+    cuts = [_cuts(x[~held, j], bins) for j in range(x.shape[1])]
+    missing = max((len(c) for c in cuts), default=0) + 1
+    codes, others = _coded(x[~held], cuts, missing), _coded(np.vstack([x[held], z]), cuts, missing)
+    own, aside, n = y[~held], y[held], int(held.sum())
+    near, far = np.full(len(own), own.mean()), np.full(len(others), own.mean())
+    errors = [((aside - far[:n]) ** 2).mean() if n else 0.0]
+    for _ in range(rounds):
+        a, b = _best_first(codes, own - near, others, missing + 1, leaves, least, l2)
+        near, far = near + rate * a, far + rate * b
+        if n:
+            errors.append(((aside - far[:n]) ** 2).mean())
+            if len(errors) > patience and min(errors[-patience:]) >= errors[-patience - 1] - 1e-7:
+                break
+    return far[n:]
+
+
+LEARNERS: dict[str, Callable] = {
+    "ridge": ridge, "elastic_net": elastic_net, "extra_trees": extra_trees, "random_forest": random_forest, "boosted": boosted, "hist_boosted": hist_boosted,
+}
+#: What stands for a missing feature; learners that take missing values as they are get them so by default.
+FILLS: dict[str, Callable] = {"mean": np.nanmean, "median": np.nanmedian}
+TAKES_MISSING = ("hist_boosted",)
 
 
 def learner(name: str) -> Callable:
@@ -357,13 +447,18 @@ def learner(name: str) -> Callable:
     return LEARNERS[name]
 
 
-def leave_one_gap_out(table: DataFrame, admitted: DataFrame, features: list[str], target: str, name: str, anchor: str | None = None, least: int = 30, **options) -> DataFrame:
+def leave_one_gap_out(table: DataFrame, admitted: DataFrame, features: list[str], target: str, name: str, anchor: str | None = None, least: int = 30, fill: str | None = None, **options) -> DataFrame:
     """Predictions of every gap's days by a model that its admissible rows train.
 
     table: (series_id, gap_id, x, features, target); admitted: (held_out, the same columns) of training rows. The two
-    meet by gap: one group holds one gap's training rows. Too few training rows: NULLs.
+    meet by gap: one group holds one gap's training rows. Too few training rows: NULLs; fit_warnings() tells which.
+    fill: "mean" or "median" of the training rows for missing features; None: the mean, or nothing where the learner
+    takes missing values.
     """
     fit = learner(name)
+    if fill is not None and fill not in FILLS:
+        raise ValueError(f"unknown fill {fill!r}")
+    how = FILLS[fill or "mean"] if fill or name not in TAKES_MISSING else None
     cols = ["series_id", "gap_id", "x", *features, target, *([anchor] if anchor and anchor not in features else [])]
     train = admitted.select("held_out", *[c for c in cols if c not in ("series_id", "gap_id")])
     test = table.select(F.col("gap_id").alias("held_out"), *[F.col(c).alias(c) for c in cols])  # own names: both sides may share lineage
@@ -372,7 +467,8 @@ def leave_one_gap_out(table: DataFrame, admitted: DataFrame, features: list[str]
         out = b[["series_id", "gap_id", "x"]].assign(prediction=np.nan, spread=np.nan)
         a = a[a[target].notna()].sort_values(["x", *features[:1]], kind="stable")
         if len(a) >= least and len(b):
-            x, z = impute(a[features].to_numpy(float), b[features].to_numpy(float))
+            x, z = a[features].to_numpy(float), b[features].to_numpy(float)
+            x, z = impute(x, z, how) if how else (x, z)
             p = fit(x, a[target].to_numpy(float), z, **options)
             out["prediction"] = p + (b[anchor].to_numpy(float) if anchor else 0.0)
         return out
@@ -380,6 +476,15 @@ def leave_one_gap_out(table: DataFrame, admitted: DataFrame, features: list[str]
     return train.groupBy("held_out").cogroup(test.groupBy("held_out")).applyInPandas(run, PREDICTION)
 
 
+def fit_warnings(pool: DataFrame, table: DataFrame, admitted: DataFrame, target: str, least: int = 30) -> DataFrame:
+    """(gap_id, n_days, n_train, warning) of the gaps that leave_one_gap_out() can't predict, and why."""
+    days = table.groupBy("gap_id").agg(F.count(F.lit(1)).alias("n_days"))
+    train = admitted.where(F.col(target).isNotNull()).groupBy(F.col("held_out").alias("gap_id")).agg(F.count(F.lit(1)).alias("n_train"))
+    out = pool.select("gap_id").join(days, "gap_id", "left").join(train, "gap_id", "left").fillna(0, ["n_days", "n_train"])
+    said = F.when(F.col("n_days") == 0, "no days to predict").when(F.col("n_train") < least, "too few training rows")
+    return out.withColumn("warning", said).where("warning is not null")
+
+
 def external_rows(daily: DataFrame, features: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(test days, training days) for models on a day's features alone: every eligible day outside the hidden window trains."""
     rows = daily.join(features.drop("x"), "date")

@@ -155,9 +155,9 @@ METHODS = (
     Method("canonical_interpolation", "Linear interpolation", "classical_benchmark", "frozen_matched_449"),
     Method("gp_m1", "Gaussian process", "classical_benchmark", "frozen_matched_449", "gaussian_process"),
     Method("ext_tabular_extratrees", "External tabular (ExtraTrees)", "classical_benchmark", "frozen_matched_449", "extra_trees"),
-    Method("ext_tabular_hgb", "External tabular (HGB)", "classical_benchmark", "frozen_matched_449", "boosted"),
+    Method("ext_tabular_hgb", "External tabular (HGB)", "classical_benchmark", "frozen_matched_449", "hist_boosted"),
     Method("external_only_extratrees", "External tabular, plain external-only protocol (ExtraTrees)", "classical_benchmark", "new_evaluation_on_matched_449", "extra_trees"),
-    Method("external_only_hgb", "External tabular, plain external-only protocol (HGB)", "classical_benchmark", "new_evaluation_on_matched_449", "boosted"),
+    Method("external_only_hgb", "External tabular, plain external-only protocol (HGB)", "classical_benchmark", "new_evaluation_on_matched_449", "hist_boosted"),
     Method("tier_ch_deployed", "Gap-edge residual model", "classical_benchmark", "frozen_matched_449", "extra_trees"),
     Method("engineered_hybrid", "Engineered hybrid pipeline (validation-aware method assignment)", "classical_benchmark", "new_evaluation_on_matched_449"),
     Method("sequence_target_only", "Sequence model target-only", "external_reference", "frozen_matched_449"),

@@ -558,7 +558,12 @@ def ml1_edge_table(spark, d):
     return _round(t, "position", "edge_mean", "edge_slope", "anchor_log", "residual_log", "doy_sin")
 
 
-@query()
+_SIDES = "('last'), ('last_log'), ('days_since'), ('mean_3d'), ('mean_7d'), ('mean_14d'), ('median_7d'), ('std_7d'), ('slope_3d'), ('slope_7d'), ('delta')"
+_AFTER = "('first'), ('first_log'), ('days_until'), ('mean_3d'), ('mean_7d'), ('median_7d'), ('std_7d'), ('slope_3d'), ('slope_7d'), ('delta')"
+
+
+@query(f"""SELECT 'pre_' || n AS feature, 'pre_edge' AS family, true AS pre_only FROM (VALUES {_SIDES}) t(n) UNION ALL SELECT 'post_' || n, 'post_edge', false FROM (VALUES {_AFTER}) t(n)
+UNION ALL SELECT 'edge_' || n, 'edge', false FROM (VALUES ('mean'), ('log_mean'), ('delta'), ('delta_log'), ('slope'), ('log_slope')) t(n)""")
 def ml2_feature_registry(spark, d):
     return edges.registry(spark)
 
@@ -584,6 +589,16 @@ def ml9_external_models(spark, d):
     return _round_to(out.select("gap_id", "x", "prediction"), 3, "prediction")
 
 
+@query(f"""WITH {POOL}, {S2}, ft AS (SELECT x, date FROM s1 JOIN s2 USING (date)), tr AS (SELECT x FROM ft JOIN known USING (x)),
+c AS (SELECT gap_id, (SELECT count(*) FROM ft WHERE ft.x BETWEEN a0 AND a1) AS n_days, (SELECT count(*) FROM tr WHERE tr.x NOT BETWEEN a0 AND a1) AS n_train FROM pool)
+SELECT gap_id, n_days, n_train, CASE WHEN n_days = 0 THEN 'no days to predict' ELSE 'too few training rows' END AS warning FROM c WHERE n_days = 0 OR n_train < 1830""")
+def ml6_fit_warnings(spark, d):
+    """Gaps that a learner which asks for 1,830 training days can't predict."""
+    daily, pool = _both(spark, d)
+    test, train = models.external_rows(daily.withColumn("y", F.col("value")), series.feature_series(spark, d), pool)
+    return models.fit_warnings(pool, test, train, "y", least=1830)
+
+
 @query()
 def ml10_gaussian_process(spark, d):
     daily, pool = _both(spark, d)
@@ -933,4 +948,4 @@ def ml4_external_reference(spark, d):
     table = edges.edge_table(daily, pool).join(series.feature_series(spark, d).drop("x"), "date", "left")
     f = ["f_count", "f_mean", *edges.meta()]
     train = masking.admissible(table, pool).select("held_out", "x", *f, "truth_log")
-    return models.leave_one_gap_out(table.select("series_id", "gap_id", "x", *f, "truth_log"), train, f, "truth_log", "boosted")
+    return models.leave_one_gap_out(table.select("series_id", "gap_id", "x", *f, "truth_log"), train, f, "truth_log", "hist_boosted")

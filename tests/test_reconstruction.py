@@ -159,7 +159,7 @@ def test_learners():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 4))
     y = 2 * x[:, 0] - x[:, 1] + rng.normal(0, 0.05, 300)
-    for name, limit in (("ridge", 0.1), ("elastic_net", 0.3), ("extra_trees", 0.9), ("random_forest", 0.9), ("boosted", 0.9)):
+    for name, limit in (("ridge", 0.1), ("elastic_net", 0.3), ("extra_trees", 0.9), ("random_forest", 0.9), ("boosted", 0.9), ("hist_boosted", 0.9)):
         opt = {"trees": 20} if name in ("extra_trees", "random_forest") else {}
         e = models.learner(name)(x[:250], y[:250], x[250:], **opt) - y[250:]
         assert np.abs(e).mean() < limit, name
@@ -241,6 +241,45 @@ def test_provenance(tmp_path):
         backends.provenance(stand, backends.Pin())
 
 
+def test_histogram_boosting():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    y = np.where(x[:, 0] > 0.3, 2.0, -1.0)
+    x[rng.random(400) < 0.2, 0] = np.nan
+    y[np.isnan(x[:, 0])] = 7.0
+    p = models.hist_boosted(x[:300], y[:300], x[300:], patience=200, rounds=300)
+    assert np.abs(p - y[300:]).max() < 0.1  # missing values have a side of their own
+    # One whole tree with a full step: its leaves are means, each of enough rows, and there aren't too many.
+    p = models.hist_boosted(x[:300], y[:300], x[:300], rounds=1, rate=1.0, leaves=4, share=0)
+    assert np.allclose(p, y[:300])
+    noise = rng.normal(size=300)
+    p = models.hist_boosted(x[:300], noise, x[:300], rounds=1, rate=1.0, leaves=5, share=0)
+    values, sizes = np.unique(p, return_counts=True)
+    assert len(values) == 5 and sizes.min() >= 20 and all(np.isclose(noise[p == v].mean(), v) for v in values)
+    # The first cut is the best of all cuts.
+    p = models.hist_boosted(x[:300, 1:], noise, x[:300, 1:], rounds=1, rate=1.0, leaves=2, share=0)
+    left = lambda j, c: x[:300, j] <= c
+    fits = [((noise - np.where(a, noise[a].mean(), noise[~a].mean())) ** 2).sum() for j in (1, 2) for c in x[:300, j] if 20 <= (a := left(j, c)).sum() <= 280]
+    assert np.isclose(((noise - p) ** 2).sum(), min(fits))
+    # Noise stops the rounds early; a column without a value, few rows and equal targets are no trouble.
+    few, many = (models.hist_boosted(x[:300], noise, x[:300], patience=k, rounds=80) for k in (3, 80))
+    assert np.ptp(few) < np.ptp(many)
+    assert np.allclose(models.hist_boosted(np.full((30, 2), np.nan), np.ones(30), np.full((2, 2), np.nan)), 1.0)
+    assert np.allclose(models.hist_boosted(x[:12], noise[:12], x[:3], share=0), noise[:12].mean())
+
+
+def test_fit_warnings_and_fills(spark):
+    pool = spark.createDataFrame([("a",), ("b",), ("c",)], "gap_id string")
+    table = spark.createDataFrame([("s", "a", 1, None, 1.0), ("s", "b", 2, 1.0, 1.0)], "series_id string, gap_id string, x int, f double, y double")
+    train = spark.createDataFrame([("a", k, float(v), float(v)) for k, v in enumerate([0, 0, 0, 0, 10])] + [("b", 1, 1.0, 1.0), ("b", 2, 2.0, None), ("c", 1, 1.0, 1.0)], "held_out string, x int, f double, y double")
+    said = {tuple(r) for r in models.fit_warnings(pool, table, train, "y", least=2).collect()}
+    assert said == {("b", 1, 1, "too few training rows"), ("c", 0, 1, "no days to predict")}
+    one = lambda fill: models.leave_one_gap_out(table, train, ["f"], "y", "ridge", least=5, fill=fill, alpha=1e-9).where("gap_id = 'a'").first()["prediction"]
+    assert np.isclose(one(None), 2.0) and np.isclose(one("median"), 0.0, atol=1e-6)
+    with pytest.raises(ValueError):
+        one("mode")
+
+
 def test_ridge_from_moments(spark, daily, pool):
     y = daily.withColumn("y", F.col("value"))
     f = daily.select("date", "x", (F.col("x") % 7).alias("f1"), F.when(F.col("x") % 5 > 0, F.col("x") % 11 + 1e6).alias("f2"), F.lit(None).cast("double").alias("f3"))
