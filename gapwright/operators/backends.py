@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .models import spread
+
 #: Levels of a call's quantiles, and what part of the series a call sees (fixed values).
 QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
 MODES = ("full_series", "local_window", "edge_balanced")
@@ -171,4 +173,4 @@ def infer(daily: DataFrame, pool: DataFrame, backend: Backend, window: int = 180
         except Exception as e:  # noqa: BLE001 - recorded
             return out.assign(prediction=np.nan, quantiles=None, error=f"{type(e).__name__}: {e}")
 
-    return rows.groupBy("gap_id").applyInPandas(run, CALL)
+    return spread(rows, "gap_id").groupBy("gap_id").applyInPandas(run, CALL)

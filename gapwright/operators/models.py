@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 PREDICTION = "series_id string, gap_id string, x int, prediction double, spread double"
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key over as many tasks as a shuffle has. Fits cost time, not bytes, and by bytes adaptive execution would put them in a few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # --- local level ------------------------------------------------------------------------------------------
 
 
@@ -116,7 +121,7 @@ def kalman_gaps(daily: DataFrame, pool: DataFrame, parameters: DataFrame) -> Dat
         s, v = kalman(pdf["y"].to_numpy(float), pdf["sigma_q"].iloc[0], pdf["sigma_r"].iloc[0])
         return pdf.assign(prediction=s, spread=v).loc[pdf["hidden"].to_numpy(), ["series_id", "gap_id", "x", "prediction", "spread"]]
 
-    return rows.groupBy("gap_id").applyInPandas(run, PREDICTION)
+    return spread(rows, "gap_id").groupBy("gap_id").applyInPandas(run, PREDICTION)
 
 
 # --- Gaussian process -------------------------------------------------------------------------------------
@@ -209,7 +214,7 @@ def gp_gaps(daily: DataFrame, pool: DataFrame, fixed: bool = True, reach: int =
                 out["prediction"], out["spread"] = got
         return out
 
-    return rows.groupBy("gap_id").applyInPandas(run, PREDICTION)
+    return spread(rows, "gap_id").groupBy("gap_id").applyInPandas(run, PREDICTION)
 
 
 def interval(mean, spread, z: float = 1.645):
@@ -409,7 +414,7 @@ def _best_first(codes, rest, others, width: int, leaves: int, least: int, l2: fl
     return near, far
 
 
-def hist_boosted(x, y, z, rounds: int = 1000, rate: float = 0.05, leaves: int = 31, least: int = 20, l2: float = 0.0, share: float = 0.1, patience: int = 20, seed: int = 42, bins: int = 255):
+def hist_boosted(x, y, z, rounds: int = 1000, rate: float = 0.05, leaves: int = 31, leaf_rows: int = 20, l2: float = 0.0, share: float = 0.1, patience: int = 20, seed: int = 42, bins: int = 255):
     """Boosted best-first trees on binned columns (squared error). Missing values are a bin that goes to the better side.
 
     A share of the rows, drawn by seed, is held back: when none of the last `patience` rounds lowers its error, no more
@@ -424,7 +429,7 @@ def hist_boosted(x, y, z, rounds: int = 1000, rate: float = 0.05, leaves: int =
     near, far = np.full(len(own), own.mean()), np.full(len(others), own.mean())
     errors = [((aside - far[:n]) ** 2).mean() if n else 0.0]
     for _ in range(rounds):
-        a, b = _best_first(codes, own - near, others, missing + 1, leaves, least, l2)
+        a, b = _best_first(codes, own - near, others, missing + 1, leaves, leaf_rows, l2)
         near, far = near + rate * a, far + rate * b
         if n:
             errors.append(((aside - far[:n]) ** 2).mean())
@@ -473,7 +478,7 @@ def leave_one_gap_out(table: DataFrame, admitted: DataFrame, features: list[str]
             out["prediction"] = p + (b[anchor].to_numpy(float) if anchor else 0.0)
         return out
 
-    return train.groupBy("held_out").cogroup(test.groupBy("held_out")).applyInPandas(run, PREDICTION)
+    return spread(train, "held_out").groupBy("held_out").cogroup(spread(test, "held_out").groupBy("held_out")).applyInPandas(run, PREDICTION)
 
 
 def fit_warnings(pool: DataFrame, table: DataFrame, admitted: DataFrame, target: str, least: int = 30) -> DataFrame:

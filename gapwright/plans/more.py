@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import assembly, baselines, covariates, dispatch, intervals, models, paired, pools, registries, scoring
+from ..operators import assembly, backends, baselines, covariates, demo, dispatch, intervals, models, paired, pools, registries, scoring
 from ..sources import series
 from .queries import _both, _LABELS, _METRICS, _round, _scored, query
 from .sql import DAY, EDGES, POOL, PREDICTED, RUNS, S1, S2, r6
@@ -386,3 +386,42 @@ def ml20_method_dispatch(spark, d):
         one = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("gap_id").alias("n_gaps"), mean.alias("mean")).select(F.lit(method).alias("method_id"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# --- the demonstration's methods --------------------------------------------------------------------------
+
+_PICK = "('0x' || substr(md5('0|' || k || '|{}'), 1, 8))::BIGINT"
+
+
+@query(f"""WITH {S1}, lim AS (SELECT min(x) AS lo, max(x) AS hi FROM s1), dr AS (SELECT k, [1, 3, 7, 14][({_PICK.format('length')} % 4) + 1] AS len FROM generate_series(0, 1599) g(k)),
+bl AS (SELECT k, len, lo + 10 + {_PICK.format('start')} % (hi - lo + 1 - len - 20) AS a FROM dr, lim), ok AS (SELECT k, len, a FROM bl WHERE (SELECT count(*) FROM known WHERE x BETWEEN a AND a + len - 1) = len),
+ed AS (SELECT ok.*, (SELECT max(x) FROM known WHERE x < a) AS x0, (SELECT min(x) FROM known WHERE x > a + len - 1) AS x1 FROM ok),
+v AS (SELECT ed.*, log10(p.v) AS y0, log10(q.v) AS y1 FROM ed JOIN known p ON p.x = x0 JOIN known q ON q.x = x1), dd AS (SELECT *, unnest(generate_series(a, a + len - 1)) AS x FROM v)
+SELECT 'S' || lpad(k::VARCHAR, 6, '0') AS gap_id, x, x - x0 AS days_from, x1 - x AS days_to, {r6('y0 + (x - x0)::DOUBLE / (x1 - x0) * (y1 - y0)', 'interp_log')}, {r6('log10(known.v) - (y0 + (x - x0)::DOUBLE / (x1 - x0) * (y1 - y0))', 'residual')} FROM dd JOIN known USING (x)""")
+def ml19_synthetic_residuals(spark, d):
+    """What the residual model learns from."""
+    daily = series.main_series(spark, d)
+    rows = demo.residual_days(daily, demo.synthetic_gaps(daily))
+    return _round(rows.select("gap_id", "x", "days_from", "days_to", "interp_log", "residual"), "interp_log", "residual")
+
+
+@query()
+def ml19_gap_edge_residual(spark, d):
+    daily, pool = _both(spark, d)
+    return demo.gap_edge_residual(daily, series.feature_series(spark, d), pool, ["f_count", "f_mean"])
+
+
+@query()
+def ml18_external_tabular(spark, d):
+    daily, pool = _both(spark, d)
+    return demo.external_tabular(daily, series.feature_series(spark, d), pool, ["f_count", "f_mean"])
+
+
+@query(f"""WITH {POOL}, kn AS (SELECT x, log10(v)::FLOAT::DOUBLE AS y FROM known), ed AS (SELECT gap_id, (SELECT max(x) FROM kn WHERE x < a0) AS px, (SELECT min(x) FROM kn WHERE x > a1) AS qx FROM pool),
+val AS (SELECT h.gap_id, h.x, CASE WHEN px IS NULL THEN b.y WHEN qx IS NULL THEN a.y ELSE a.y + (h.x - px) * (b.y - a.y) / (qx - px) END AS p, 1.645 * 0.05 * sqrt(least(coalesce(h.x - px, 99999), coalesce(qx - h.x, 99999))) AS w
+  FROM hidden h JOIN ed USING (gap_id) LEFT JOIN kn a ON a.x = px LEFT JOIN kn b ON b.x = qx)
+SELECT gap_id, x, floor(pow(10, p) * 1e2 + 0.5003) / 1e2 AS value, floor(pow(10, p - w) * 1e2 + 0.5003) / 1e2 AS q05, floor(pow(10, p + w) * 1e2 + 0.5003) / 1e2 AS q95 FROM val""")
+def fm6_demo_calls(spark, d):
+    daily, pool = _both(spark, d)
+    out = demo.sequence_calls(series.model_series(daily), pool, backends.Stand())
+    return out.select("gap_id", "x", *[S.rounded(c, 2).alias(c) for c in ("value", "q05", "q95")])
