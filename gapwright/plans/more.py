@@ -372,8 +372,8 @@ def ml15_hidden_truth(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("pb").isNotNull() & (F.col("pa") != F.col("pb"))).alias("n_changed"))
 
 
-@query(f"""WITH {EDGES} SELECT 'canonical_interpolation' AS method_id, count(*) AS n_rows, count(DISTINCT h.gap_id) AS n_gaps, {r6('avg(log10(v0) + (h.x - x0)::DOUBLE / (x1 - x0) * (log10(v1) - log10(v0)))', 'mean')} FROM hidden h JOIN edge USING (gap_id)
-UNION ALL SELECT 'external_only_extratrees', count(*), count(DISTINCT gap_id), NULL FROM hidden WHERE gap_length = 14""")
+@query(f"""WITH {EDGES}, {S2} SELECT 'canonical_interpolation' AS method_id, count(*) AS n_rows, count(DISTINCT h.gap_id) AS n_gaps, {r6('avg(log10(v0) + (h.x - x0)::DOUBLE / (x1 - x0) * (log10(v1) - log10(v0)))', 'mean')} FROM hidden h JOIN edge USING (gap_id)
+UNION ALL SELECT 'external_only_extratrees', count(*), count(DISTINCT gap_id), NULL FROM hidden JOIN s1 USING (x) JOIN s2 USING (date) WHERE gap_length = 14""")
 def ml20_method_dispatch(spark, d):
     """Two methods by identifier: interpolation over the pool with its values, trees over its longest gaps with their support."""
     daily, pool = _both(spark, d)
