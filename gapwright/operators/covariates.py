@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 
 
 def override(base: DataFrame, extension: DataFrame, key: str = "date") -> DataFrame:
@@ -108,7 +107,7 @@ def summary(df: DataFrame, columns: list[str]) -> DataFrame:
 def completeness(df: DataFrame, pool: DataFrame, column: str) -> DataFrame:
     """Share of a gap's days on which a covariate is known."""
     days = pool.select("gap_id", F.explode(F.sequence("start", "end")).alias("date")).join(df.select("date", column), "date", "left")
-    return days.groupBy("gap_id").agg(S.rounded(F.avg(F.col(column).isNotNull().cast("int"))).alias("completeness"))
+    return days.groupBy("gap_id").agg(F.avg(F.col(column).isNotNull().cast("int")).alias("completeness"))
 
 
 def call_grid(pool: DataFrame, modes: list[str], arms: list[str], placebos: list[str] | None = None) -> DataFrame:

@@ -174,7 +174,7 @@ def flt16_dataset_summary(spark, d):
 @query(f"WITH {POOL}, {S2} SELECT gap_id, {r6('avg(CASE WHEN f_mean IS NULL THEN 0 ELSE 1 END)', 'completeness')} FROM hidden LEFT JOIN s2 ON s2.date = {DAY.format('x')} GROUP BY gap_id")
 def flt17_completeness(spark, d):
     _, pool = _both(spark, d)
-    return covariates.completeness(series.feature_series(spark, d), pool, "f_mean")
+    return _round(covariates.completeness(series.feature_series(spark, d), pool, "f_mean"), "completeness")
 
 
 # --- joins ------------------------------------------------------------------------------------------------
