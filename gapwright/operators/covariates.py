@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def override(base: DataFrame, extension: DataFrame, key: str = "date") -> DataFrame:
     """Columns of both tables come from the extension (NULL on days that it lacks); new ones are added."""
     shared = [c for c in base.columns if c in extension.columns and c != key]
