@@ -327,6 +327,8 @@ def overlaps(h, r, c, m, g, n, k):
 
     An entry is a token (h) of a class (r, size n, k: is it kept) in a part (g) of a component (c, of m members). The
     smaller component asks the larger one, by (members, identifier); least and most size in a part bound who can link.
+    A part can have members of several components: the first given entry of a token and part is compared, so the
+    largest component's has to come first (see `largest_first`).
     """
     order = np.lexsort((g, h))
     h, r, c, m, g, n, k = (x[order] for x in (h, r, c, m, g, n, k))
@@ -358,6 +360,13 @@ def overlaps(h, r, c, m, g, n, k):
     return _summed(*(np.concatenate(v) for v in zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 4
 
 
+def largest_first(h, r, c, m, g, n, k):
+    """The entries by descending (members, component). A class then asks a part for a token exactly if some member that
+    has it is of a larger component than its own; of two classes in different components, one always asks the other's part."""
+    order = np.lexsort((c, m))[::-1]
+    return tuple(x[order] for x in (h, r, c, m, g, n, k))
+
+
 def _summed(r, g, n, k):
     order = np.lexsort((g, r))
     r, g, n, k = r[order], g[order], n[order], k[order]
@@ -389,7 +398,7 @@ def queries_by_group(entries: DataFrame) -> DataFrame:
             yield from exchange.blobs((mix(h) % np.uint64(nb)).astype(np.int64), 0, names, h=h, k=kept, **own)
 
     def meet(_, x):
-        r, g, n, k = overlaps(*(x[c] for c in ("h", "r", "c", "m", "g", "n")), x["k"].astype(np.int64))
+        r, g, n, k = overlaps(*largest_first(*(x[c] for c in ("h", "r", "c", "m", "g", "n")), x["k"].astype(np.int64)))
         if len(r):
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (r, g, n, k)], ["node", "part", "common", "kept"])
 

@@ -1,6 +1,7 @@
 """Operators that look at texts together, against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -245,6 +246,47 @@ def test_overlaps_with_the_stored_unions():
     similarity.PAIRS = 400_000
 
 
+def passages(seeds):
+    """Overlapping windows of long texts: many pairs around the threshold, and groups of similar sets that don't all link."""
+    rows = []
+    for g in seeds:
+        rng = random.Random(g)
+        text = [f"g{g}_{i}" for i in range(rng.randrange(120, 400))]
+        for _ in range(rng.randrange(10, 60)):
+            n, a = rng.randrange(40, 110), rng.randrange(0, len(text) - 40)
+            w = text[a : a + n]
+            if rng.random() < 0.3:
+                w[rng.randrange(len(w))] = f"e{g}_{rng.randrange(4)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_links_into_parts_of_several_components(spark):
+    rows = passages([19, 39, 115, 141, 175, 202, 226, 238, 256, 273, 287, 293])
+    out = similarity.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == plain_components(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_of_two_classes_asks_for_every_common_token(seed):
+    """Whichever members of other components a part has, and in whatever order they come."""
+    rng = np.random.default_rng(seed)
+    n = 300
+    h, own = np.unique(np.stack([rng.integers(0, 40, n), rng.integers(0, 40, n)]), axis=1)
+    comp, part = rng.integers(0, 15, 40), rng.integers(0, 8, 40) + 100
+    members = np.bincount(comp, minlength=15)
+    order = rng.permutation(len(h))
+    h, own = h[order], own[order]
+    given = (h.astype(np.uint64), own, comp[own], members[comp[own]], part[own], np.full(len(h), 50), np.ones(len(h), np.int64))
+    r, g, c, _ = similarity.overlaps(*similarity.largest_first(*given))
+    asked = {(int(a), int(b)): int(x) for a, b, x in zip(r, g, c, strict=True)}
+    tokens = {int(i): set(h[own == i].tolist()) for i in own}
+    for a in tokens:
+        for b in tokens:
+            if part[a] != part[b] and comp[a] != comp[b] and (members[comp[a]], comp[a]) < (members[comp[b]], comp[b]):
+                assert asked.get((a, int(part[b])), 0) >= len(tokens[a] & tokens[b])
+
+
 def test_one_of_each(docs, rows, empty):
     kept = similarity.one_of_each(docs)
     got = sorted((key(r["doc_id"]), r["text"] or "") for r in kept.collect())
