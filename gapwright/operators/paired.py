@@ -27,6 +27,11 @@ def pairing(rows: DataFrame, a: str, b: str) -> DataFrame:
     return per.join(twice, "gap_id", "left").fillna(0, ["n_repeated"])
 
 
+def common_days(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Days that both methods have, repeated ones once; an error is NULL where its prediction or truth is."""
+    return paired_days(rows.dropDuplicates(["method", "gap_id", "date"]), a, b).where("in_a and in_b")
+
+
 def check_pairs(rows: DataFrame, a: str, b: str, mode: str = "strict") -> DataFrame:
     """strict: unequal days or repeated ones are an error. intersection: only common days stay, and what went is told
     by pairing()."""
@@ -37,7 +42,7 @@ def check_pairs(rows: DataFrame, a: str, b: str, mode: str = "strict") -> DataFr
         bad = report.where("n_only_a > 0 or n_only_b > 0 or n_repeated > 0").limit(3).collect()
         if bad:
             raise ValueError(f"the methods' days differ: {[r.asDict() for r in bad]}")
-    return paired_days(rows.dropDuplicates(["method", "gap_id", "date"]), a, b).where("in_a and in_b and ea is not null and eb is not null")
+    return common_days(rows, a, b).where("ea is not null and eb is not null")
 
 
 def per_gap(days: DataFrame) -> DataFrame:
