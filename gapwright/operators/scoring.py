@@ -73,12 +73,16 @@ def pooled(lengths: DataFrame) -> DataFrame:
     )
 
 
-def ranks(metrics: DataFrame) -> DataFrame:
-    """Average rank of each method's MAE within a gap (ties share the mean of their places)."""
-    w = Window.partitionBy("gap_id").orderBy("mae")
+def ranks(metrics: DataFrame, missing_last: bool = False) -> DataFrame:
+    """Average rank of each method's MAE within a gap (ties share the mean of their places).
+
+    Methods without an MAE in a gap have no place there; with missing_last they share the last ones.
+    """
+    w = Window.partitionBy("gap_id").orderBy(F.asc_nulls_last("mae"))
     ties = Window.partitionBy("gap_id", "mae")
     place: Column = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-    return metrics.where(F.col("mae").isNotNull()).withColumn("place", place).groupBy("method").agg(F.avg("place").alias("mean_rank"), F.count(F.lit(1)).alias("n_gaps"))
+    rows = metrics if missing_last else metrics.where(F.col("mae").isNotNull())
+    return rows.withColumn("place", place).groupBy("method").agg(F.avg("place").alias("mean_rank"), F.count(F.lit(1)).alias("n_gaps"))
 
 
 def improvement(rows: DataFrame, base: str) -> DataFrame:

@@ -446,7 +446,7 @@ def wn5_fill_distances(spark, d):
 @query(f"""WITH {_METRICS}, r AS (SELECT method, gap_id, floor(mae * 1e6 + 0.5003) / 1e6 AS mae FROM gm), p AS (SELECT method, rank() OVER (PARTITION BY gap_id ORDER BY mae) + (count(*) OVER (PARTITION BY gap_id, mae) - 1) / 2.0 AS place FROM r)
 SELECT method, {r6('avg(place::DOUBLE)', 'mean_rank')}, count(*) AS n_gaps FROM p GROUP BY 1""")
 def wn7_method_ranks(spark, d):
-    return _round(scoring.ranks(scoring.gap_metrics(_scored(spark, d), digits=6)), "mean_rank")
+    return _round(scoring.ranks(scoring.gap_metrics(_scored(spark, d), digits=6), missing_last=True), "mean_rank")
 
 
 @query(f"WITH {POOL} SELECT gap_id, row_number() OVER (PARTITION BY gap_length ORDER BY a0) - 1 AS sample_order_index FROM pool")

@@ -93,6 +93,13 @@ def test_ranks_share_ties(spark):
     assert out == {"a": 1.5, "b": 1.5, "c": 3.0}
 
 
+def test_methods_without_an_error_rank_last_or_not_at_all(spark):
+    rows = spark.createDataFrame([("a", "g", 1.0), ("b", "g", None), ("c", "g", None), ("a", "h", 2.0), ("b", "h", 1.0)], "method string, gap_id string, mae double")
+    told = lambda df: {r["method"]: (r["mean_rank"], r["n_gaps"]) for r in df.collect()}
+    assert told(scoring.ranks(rows)) == {"a": (1.5, 2), "b": (1.0, 1)}
+    assert told(scoring.ranks(rows, missing_last=True)) == {"a": (1.5, 2), "b": (1.75, 2), "c": (2.5, 1)}
+
+
 def _pairs(spark, extra=()):
     rows = [(m, f"g{g}", day(k), 1.0 + (0.1 if m == "a" else 0.3) * (1 + g % 2), 1.0) for m in "ab" for g in range(12) for k in range(3)]
     return spark.createDataFrame(rows + list(extra), "method string, gap_id string, date date, prediction double, truth double")
