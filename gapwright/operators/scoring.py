@@ -12,9 +12,13 @@ def error() -> Column:
     return F.col("prediction") - F.col("truth")
 
 
-def on_log_scale(rows: DataFrame) -> DataFrame:
-    """Truth is raised to the floor before its logarithm; predictions are values too."""
-    return rows.withColumn("prediction", F.log10(S.clipped(F.col("prediction")))).withColumn("truth", F.log10(S.clipped(F.col("truth"))))
+def on_log_scale(rows: DataFrame, missing_at_floor: bool = False) -> DataFrame:
+    """Truth is raised to the floor before its logarithm; predictions are values too.
+
+    Missing values stay missing; with missing_at_floor they are raised to the floor, too, so their days are scored.
+    """
+    value = lambda c: F.coalesce(F.col(c), F.lit(S.FLOOR)) if missing_at_floor else F.col(c)
+    return rows.withColumns({c: F.log10(S.clipped(value(c))) for c in ("prediction", "truth")})
 
 
 def gap_metrics(rows: DataFrame, digits: int = 4) -> DataFrame:

@@ -54,7 +54,7 @@ def test_query_equals_sql(spark, duck, name, tmp_path):
     assert sorted(map(repr, a.project(p).fetchall())) == sorted(map(repr, b.project(p).fetchall()))
 
 
-@pytest.mark.parametrize("name", ["st4_dropped_duplicates", "wn7_method_ranks"])
+@pytest.mark.parametrize("name", ["st4_dropped_duplicates", "wn7_method_ranks", "vf2_scoring_chain"])
 def test_query_equals_sql_where_a_gap_has_no_prediction(spark, gap_first, name):
     c = duckdb.connect()
     c.execute(f"create view lineitem as select * from '{gap_first}/lineitem.parquet'")

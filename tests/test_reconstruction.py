@@ -87,6 +87,12 @@ def test_scores_by_day_and_by_gap(spark):
     assert (s["n_gaps"], s["n_days"]) == (2, 6) and s["day_weighted_mae"] == pytest.approx(0.25) and s["gap_weighted_mae"] == pytest.approx(0.55)
 
 
+def test_missing_values_on_the_log_scale(spark):
+    rows = spark.createDataFrame([(None, 10.0), (100.0, None), (-1.0, 1.0)], "prediction double, truth double")
+    assert [tuple(r) for r in scoring.on_log_scale(rows).collect()] == [(None, 1.0), (2.0, None), (-4.0, 0.0)]
+    assert [tuple(r) for r in scoring.on_log_scale(rows, missing_at_floor=True).collect()] == [(-4.0, 1.0), (2.0, -4.0), (-4.0, 0.0)]
+
+
 def test_ranks_share_ties(spark):
     rows = [("a", "g", 1.0), ("b", "g", 1.0), ("c", "g", 2.0)]
     out = {r["method"]: r["mean_rank"] for r in scoring.ranks(spark.createDataFrame(rows, "method string, gap_id string, mae double")).collect()}
